@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, gif, simhash, suffix
+from . import chat, decontaminate, gif, html, simhash, suffix
 
-_MODULES = (decontaminate, suffix, simhash, gif)
+_MODULES = (decontaminate, suffix, simhash, gif, html, chat)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
