@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanframe.llm import common, decontaminate, simhash
+from spanframe.llm import common, decontaminate, mixing, simhash, tokens, toxicity
 
 STAGES = [
+    ("toxicity", toxicity.clean_stage),
     ("simhash_near_dedup", simhash.dedup_stage),
     ("benchmark_decontamination", decontaminate.clean_stage),
+    ("source_mix", mixing.mix_stage),
+    ("token_output", tokens.output_stage),
 ]
 
 #: A fitted classifier and a tokenizer are not expressible in SQL.

@@ -31,7 +31,7 @@ TRAIN_ROWS = 4000
 PREFIXES = (4, 5, 6)
 FEATURES = 20_000
 THRESHOLD = 0.7
-RIDGE, FAIRNESS = 2e-4, 10.0
+RIDGE, SPARSE, FAIRNESS = 1e-6, 3e-4, 10.0
 #: Share of labelled texts to which an identity term is added.
 ADDED = 0.1
 #: Terms that are swapped within their group, in the languages at hand.
@@ -163,15 +163,14 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
 
 
 def _calibrate(logit: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Scale (at least 1) and intercept of the logistic curve through the logits (Platt's targets)."""
+    """Scale (at least 1) and intercept of the logistic curve through the logits."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     weight = np.where(y == 1, share / n1, (1 - share) / n0)
     x = np.stack([logit, np.ones(len(y))], 1)
     b = np.array([1.0, np.log(share / (1 - share))])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -50, 50)))
-        grad = x.T @ (weight * (p - goal)) + 1e-6 * b * [1, 0]
+        grad = x.T @ (weight * (p - y)) + 1e-6 * b * [1, 0]
         step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-12)[:, None]).T @ x + 1e-6 * np.eye(2), grad)
         b = b - step * min(1.0, 2 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-7:
@@ -179,7 +178,7 @@ def _calibrate(logit: np.ndarray, y: np.ndarray, share: float) -> tuple[float, f
     return max(float(b[0]), 1.0), float(b[1])
 
 
-def _fit(texts: list[str], y: np.ndarray, steps: int = 400) -> Model:
+def _fit(texts: list[str], y: np.ndarray, steps: int = 600) -> Model:
     n, n1 = len(y), y.sum()
     rows, hashes = _hash_texts(texts)
     names, column = np.unique(hashes, return_inverse=True)
@@ -215,12 +214,12 @@ def _fit(texts: list[str], y: np.ndarray, steps: int = 400) -> Model:
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[column], n) + b, -50, 50)))
         e = weight * (p - y) / n
         gap = np.bincount(change_row, change * w[change_column], twin) if len(change) else np.zeros(twin)
-        g = np.bincount(column, e[rows], k) + RIDGE * w
+        g = np.bincount(column, e[rows], k) + RIDGE * w + SPARSE
         if len(change):
             g += 2 * FAIRNESS / twin * np.bincount(change_column, change * gap[change_row], k)
         gb = e.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate = 0.05 / (1 - 0.9**t) * (1 - t / (steps + 1))
+        rate = 0.1 / (1 - 0.9**t) * (1 - t / (steps + 1))
         w = np.maximum(w - rate * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-9), 0)
         b -= rate * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-9)
     keep = w > 1e-4
