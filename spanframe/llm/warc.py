@@ -33,6 +33,8 @@ REVISIT_BYTES = 1000
 SEGMENT_BYTES = 4096
 CHUNK_BYTES = 1500
 ARCHIVE_BYTES = 8 << 20
+#: Repeated payloads (some 60 bytes each) whose table is broadcast; with more, pages are dealt by digest.
+BROADCAST_GROUPS = 200_000
 _DATE = "2024-01-01T00:00:00Z"
 
 # Records ------------------------------------------------------------------------------------------
@@ -174,10 +176,13 @@ def assign_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     raw = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), raw.alias("html"))
     long_enough = F.octet_length("html") >= least
-    rows = rows.withColumn("_sha", F.when(long_enough, F.sha1("html")))
+    rows = rows.withColumn("_sha", F.when(long_enough, F.unhex(F.sha1("html"))))
     groups = rows.where(long_enough).groupBy("_sha", "page_id").agg(F.count("*").alias("n"))
     best = groups.groupBy("_sha").agg(F.sum("n").alias("_n"), F.max(F.struct("page_id", "n")).alias("_best")).where(F.col("_n") > 1)
     best = best.select("_sha", F.col("_best.page_id").alias("_page"), F.col("_best.n").alias("_ties"))
+    best = C.write_table(best, "payloads")
+    if best.count() <= BROADCAST_GROUPS:
+        best = F.broadcast(best)
     joined = rows.join(best, "_sha", "left")
     is_best = F.col("page_id").eqNullSafe(F.col("_page"))
     tied = F.coalesce(is_best & (F.col("_ties") > 1), F.lit(False))
