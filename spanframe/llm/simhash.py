@@ -185,9 +185,10 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches):
-    rows = pa.Table.from_batches(list(batches))  # bounded: hot keys come in chunks
-    if not rows.num_rows:
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
         return
+    rows = pa.Table.from_batches(rows)  # bounded: hot keys come in chunks
     cell = np.asarray(rows["cell"].combine_chunks())
     prints = np.asarray(rows["p"].combine_chunks()).view(np.uint64)
     u, v = forest(cell, prints)
@@ -210,30 +211,56 @@ def links(nodes: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
     return dealt.select(cell.alias("cell"), "p").repartition(parts, "cell").mapInArrow(_compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with fingerprint (16 hex digits) and component_id, the least id of those that links reach."""
-    keep = [c for c in docs.columns if c.lower() not in ("fingerprint", "component_id")]
-    prints = C.write_table(add_fingerprint(docs.select(*keep), text), "simhash")
+def groups(prints: DataFrame, id_col: str) -> DataFrame:
+    """(_print, component_id) for every fingerprint of prints (id, _print)."""
     nodes = C.write_table(prints.groupBy(F.col("_print").alias("p")).agg(F.min(id_col).alias("least")), "simhash-nodes")
     root = components(links(nodes.select("p"), nodes.count()))
     group = nodes.join(root, nodes["p"] == root["node"], "left").select("p", "least", F.coalesce("root", "p").alias("root"))
     least = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = group.select("p", "root").join(least, "root").select(F.col("p").alias("_print"), "component_id")
+    return group.select("p", "root").join(least, "root").select(F.col("p").alias("_print"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with fingerprint (16 hex digits) and component_id, the least id of those that links reach.
+
+    keep: the columns of docs that are returned, all by default; without the text it crosses no shuffle.
+    """
+    keep = [c for c in keep or docs.columns if c.lower() not in ("fingerprint", "component_id")]
+    prints = add_fingerprint(docs.select(*dict.fromkeys([*keep, id_col, text])), text).select(*dict.fromkeys([*keep, id_col]), "_print")
+    prints = C.write_table(prints, "simhash")
     digits = F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint")
-    return prints.join(ids, "_print", "left").select(*keep, digits, "component_id")
+    return prints.join(groups(prints.select(id_col, "_print"), id_col), "_print", "left").select(*keep, digits, "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    return near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group the row with the least id.
+
+    Rows whose id occurs once go by id alone, so their texts cross no shuffle unless the ids that go are too many to
+    broadcast. Rows that share an id, or have none, are looked at by fingerprint: of those with their group's id one stays.
+    """
+    prints = C.write_table(add_fingerprint(docs.select(id_col, text), text).select(F.col(id_col).alias("_id"), "_print"), "simhash")
+    ids = C.write_table(groups(prints, "_id"), "simhash-groups")
+    one = prints.groupBy("_id").agg(F.count("*").alias("n"), F.first("_print").alias("_print")).join(ids, "_print")
+    shared = F.col("_id").isNull() | (F.col("n") > 1)
+    gone = C.write_table(one.where(shared | (F.col("_id") != F.col("component_id"))).select("_id", shared.alias("_shared")), "simhash-gone")
+    stay = docs.join(gone.where(F.col("_id").isNotNull()).select("_id"), docs[id_col] == F.col("_id"), "left_anti").where(F.col(id_col).isNotNull())
+    odd = docs.join(gone.where("_shared").select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    odd = add_fingerprint(odd, text).join(ids, "_print").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    odd = odd.groupBy("component_id", "_print").agg(F.min(F.struct(*docs.columns)).alias("d"))
+    # rows without ids are one group's only where the whole group has none: then by fingerprint
+    key = F.when(F.col("component_id").isNull(), F.col("_print")).otherwise(F.lit(0).cast("long"))
+    odd = odd.groupBy("component_id", key).agg(F.min("d").alias("d")).select("d.*")
+    return stay.select(*docs.columns).unionByName(odd)
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate group the document with the least id; of rows that repeat its id, one."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = found.groupBy("component_id", "fingerprint").agg(F.min(F.struct(*docs.columns)).alias("d"))
-    one = one.groupBy("component_id").agg(F.min("d").alias("d"))
-    return one.select("d.*")
+    return representatives(docs)
 
 
 QUERIES = {"op3_simhash": op3_simhash}
