@@ -24,6 +24,8 @@ from . import common as C
 EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 17
+#: Sources whose plan (some 150 bytes each) is broadcast.
+BROADCAST_SOURCES = 50_000
 #: Leading hex digits of the hash that make a bucket.
 DIGITS = 3
 
@@ -79,6 +81,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     ends = ends.select("s", F.col("place").alias("_end"), (F.col("left") - F.col("start")).alias("_left"), F.col("n").alias("_n"))
     plan = plan.join(ends, same("source", "s"), "left").select(F.col("source").alias("_s"), "source_size", "target", F.col("whole").alias("_whole"), "_end", "_left", "_n")
 
+    # one row a source: sent to all tasks if it is small, else joined by source
+    plan = C.write_table(plan, "mix")
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     extra = F.when(F.col("_place") < F.col("_end"), F.col("size")).when(F.col("_place") == F.col("_end"), F.floor(F.col("_left") * F.col("size") / F.col("_n")).cast("long")).otherwise(0)
     found = rows.join(plan, same("_source", "_s"), "left")
     return found.select(*keep, "size", "source_size", "target", (F.col("_whole") * F.col("size") + extra).cast("long").alias("taken"))
