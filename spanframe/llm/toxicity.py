@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 PREFIXES = (4, 5, 6)
 FEATURES = 20_000
 THRESHOLD = 0.7
@@ -80,13 +80,13 @@ def _distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows[new], hashes[new]
 
 
-def _hash_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of the texts; a piece at a time."""
+def _hash_texts(texts: list[str], names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of the texts, of sorted names only if given; a piece at a time."""
     rows, hashes, first = [], [], 0
     column = pa.array(texts, pa.large_string())
     for batch in C.split_batches([pa.RecordBatch.from_arrays([column], names=["t"])], "t"):
-        r, h = _distinct(*features(*C.buffers(batch.column(0))))
-        rows.append(r + first)
+        r, h = _distinct(*features(*C.buffers(batch.column(0)), None if names is None else lambda h: C.member(names, h)))
+        rows.append((r + first).astype(np.int32))
         hashes.append(h)
         first += batch.num_rows
     return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
@@ -180,8 +180,11 @@ def _calibrate(logit: np.ndarray, y: np.ndarray, share: float) -> tuple[float, f
 
 def _fit(texts: list[str], y: np.ndarray, steps: int = 600) -> Model:
     n, n1 = len(y), y.sum()
-    rows, hashes = _hash_texts(texts)
-    names, column = np.unique(hashes, return_inverse=True)
+    # only what two toxic texts have can become a feature: the other class is looked through for that alone
+    seen, count = np.unique(_hash_texts([t for t, c in zip(texts, y, strict=True) if c])[1], return_counts=True)
+    names = seen[count >= 2]
+    rows, hashes = _hash_texts(texts, names)
+    column = np.searchsorted(names, hashes)
     in1 = np.bincount(column, y[rows], len(names))
     in0 = np.bincount(column, minlength=len(names)) - in1
     odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n - n1 + 1))
@@ -200,7 +203,7 @@ def _fit(texts: list[str], y: np.ndarray, steps: int = 600) -> Model:
         r, h = _hash_texts(words)
         at = np.searchsorted(names, h)
         at[at == len(names)] = 0
-        known = (names[at] == h) & (place[at] >= 0)
+        known = (names[at] == h) & (place[at] >= 0) if len(names) else np.zeros(len(h), bool)
         change_row.append(r[known])
         change_column.append(place[at[known]])
         change.append(np.full(known.sum(), sign))
