@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES = ()
+from . import oracle, queries
 
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
-ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+QUERIES = dict(queries.QUERIES)
+ORACLES = dict(oracle.ORACLES)
