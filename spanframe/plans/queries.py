@@ -91,17 +91,18 @@ def sanitize_spans(spark, d):
     return _docs(spark, d).select("doc_id", s["start"].alias("start"), s["end"].alias("end"))
 
 
-_SEGMENT = F.substring(F.col("text"), F.col("doc_id").cast("int") % 40 + 1, F.lit(4))
+def _segment():
+    return F.substring(F.col("text"), F.col("doc_id").cast("int") % 40 + 1, F.lit(4))
 
 
 def find_exact(spark, d):
-    found = X.find_exact("text", _SEGMENT)
+    found = X.find_exact("text", _segment())
     return _docs(spark, d).withColumn("f", found).select("doc_id", F.size("f").alias("n"), F.array_join("f", ",").alias("starts"))
 
 
 def nearest_exact(spark, d):
     approx = (F.col("doc_id") * 37 % 300).cast("int")
-    return _docs(spark, d).select("doc_id", X.nearest_exact("text", _SEGMENT, approx).alias("start"))
+    return _docs(spark, d).select("doc_id", X.nearest_exact("text", _segment(), approx).alias("start"))
 
 
 def _own_span(df: DataFrame, change=lambda c: c, shift=lambda i: i % 31 - 15) -> DataFrame:
