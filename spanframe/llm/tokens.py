@@ -15,14 +15,17 @@ so reruns agree; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +36,15 @@ MAGIC = b"SFTOK1\0\0"
 END_ID = 1
 SELECT = 256
 SHARD_BYTES = 16 << 20
+#: Text that is encoded at once.
+TEXT_BYTES = 4 << 20
 #: Distinct words whose ids a worker remembers.
 CACHE = 400_000
+#: Words that are encoded in one run.
+_RUN = 2000
 _HEAD = struct.Struct("<8sIIQQQ")
+#: ASCII marks but the apostrophe, which can begin a piece of its own, after a letter or digit.
+_MARKS = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)")
 
 
 class EliasFano:
@@ -127,34 +136,77 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, {}, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
 
 def encoder(path: str, dtype):
     """A function from texts to the bytes of their ids.
 
     For tokenizers that drop white space no token crosses a blank or newline, so the ids of a text are those of its words,
-    which are remembered; `tests` compare this with whole texts.
+    which are remembered. Where such a tokenizer also cuts between a letter and a punctuation mark, a blank put there
+    changes nothing and lets a word be remembered with any mark after it. `tests` compare this with whole texts.
     """
-    tokenizer, words = _tokenizer(path)
+    tokenizer, words, added = _tokenizer(path)
+    ends = _piece_ends(path)
+
+    def learn(new: list[str]) -> None:
+        alone = new
+        if ends is not None:  # words of letters are one piece each: encoded in runs and cut where pieces end
+            plain, alone = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+            runs = [plain[i : i + _RUN] for i in range(0, len(plain), _RUN)]
+            for run, e in zip(runs, tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype)
+                at = np.flatnonzero(ends[ids]) + 1
+                if len(at) != len(run):
+                    alone += run
+                    continue
+                at, raw = (at * ids.itemsize).tolist(), ids.tobytes()
+                words.update(zip(run, map(raw.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
+        for w, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            words[w] = np.array(e.ids, dtype).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in words})
-        if len(words) + len(new) > CACHE:
+        # an added token within a text has marks of its own
+        split = [(t if any(a in t for a in added) else _MARKS.sub(r" \1", t)).replace("\n", " ") for t in texts]
+        split = pc.split_pattern(pa.array(split, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        here = coded.dictionary.to_pylist()
+        new = [w for w in here if w not in words]
+        if len(words) + len(new) > CACHE:  # those at hand are the frequent ones
+            kept = {w: words[w] for w in here if w in words}
             words.clear()
-            new = list({w for ws in split for w in ws})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[w] = np.array(e.ids, dtype).tobytes()
-        return [b"".join([words[w] for w in ws]) for ws in split]
+            words.update(kept)
+        learn(new)
+        found = list(map(words.__getitem__, here))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // dtype().itemsize
+        start = np.cumsum(size) - size
+        which = np.asarray(coded.indices)
+        ids = np.frombuffer(b"".join(found), dtype)[C.concat_ranges(start[which], (start + size)[which])]
+        bounds = np.concatenate([[0], np.cumsum(size[which])])[np.asarray(split.offsets)] * dtype().itemsize
+        raw, bounds = ids.tobytes(), bounds.tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     return encode
 
 
+@lru_cache(1)
+def _piece_ends(path: str) -> np.ndarray | None:
+    """For each id whether it ends a piece, for vocabularies that say so."""
+    tokenizer = _tokenizer(path)[0]
+    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    out = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        out[i] = token.endswith(suffix)
+    return out
+
+
 def drops_white_space(path: str) -> bool:
-    tokenizer, _ = _tokenizer(path)
-    probe = "a \n b"
-    return tokenizer.encode(probe, add_special_tokens=False).ids == tokenizer.encode("a", add_special_tokens=False).ids + tokenizer.encode("b", add_special_tokens=False).ids
+    tokenizer = _tokenizer(path)[0]
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    return ids("a \n b") == ids("a") + ids("b") and ids("ab.,!b") == ids("ab") + ids(".,!") + ids("b")
 
 
 def tokenize(docs: DataFrame, path: str, doc_id: str, text: str, bounds: list, dtype) -> DataFrame:
@@ -167,7 +219,7 @@ def tokenize(docs: DataFrame, path: str, doc_id: str, text: str, bounds: list, d
     def run(batches):
         by_word, encode = drops_white_space(path), encoder(path, dtype)
         whole = _tokenizer(path)[0]
-        for batch in C.split_batches(batches, "text"):
+        for batch in C.split_batches(batches, "text", TEXT_BYTES):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = encode(texts) if by_word else [np.array(e.ids, dtype).tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
             key = batch.column(0)
