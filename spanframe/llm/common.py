@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 PIECE_BYTES = 1 << 20
 
 
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,10 +35,19 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write df below the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what write_table has written in this process; for when no result that reads it is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def input_bytes(df: DataFrame, col: str) -> int:
     """Bytes of the UTF-8 of a column over the whole table: one aggregate row."""
     return int(df.agg(F.sum(F.octet_length(F.col(col).cast("binary")).cast("long")).alias("n")).first()["n"] or 0)
