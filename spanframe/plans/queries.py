@@ -22,11 +22,12 @@ def _spans(df: DataFrame, column: str = "spans") -> DataFrame:
 
 
 def _pages(spark, d) -> DataFrame:
-    return tables.table(spark, d, "pages").select("page_id", "html")
+    return tables.spread(tables.table(spark, d, "pages").select("page_id", "html"))
 
 
 def _docs(spark, d, *columns: str) -> DataFrame:
-    return tables.table(spark, d, "documents").select("doc_id", *(columns or ("text",)))
+    docs = tables.table(spark, d, "documents").select("doc_id", *(columns or ("text",)))
+    return docs if columns else tables.spread(docs)
 
 
 def tag_parse(spark, d):

@@ -10,12 +10,13 @@ import json
 import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 
 from ..functions import kernels
 
-_MODELS: dict[tuple, object] = {}
+_MODELS: dict[tuple, Any] = {}
 
 
 class EmbeddingProvider(ABC):
@@ -72,14 +73,20 @@ class HashedNgrams(EmbeddingProvider):
     def __init__(self, dim: int = 64, sizes: tuple[int, ...] = (1, 2, 3), context: float = 0.1):
         self.dim, self.sizes, self.context = dim, sizes, context
 
+    def _word(self, word: str) -> np.ndarray:
+        """A word's own vector; workers remember those of many words."""
+        known = _MODELS.setdefault(("ngrams", self.dim, self.sizes), {})
+        if (row := known.get(word)) is None:
+            marked = f"<{word.lower()}>"
+            hashes = np.array([zlib.crc32(marked[i : i + n].encode()) for n in self.sizes for i in range(len(marked) - n + 1)])
+            row = np.bincount(hashes % self.dim, np.where(hashes >> 31, 1.0, -1.0), self.dim)
+            if len(known) >= 50_000:
+                known.clear()
+            known[word] = row
+        return row
+
     def embed(self, words: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(words), self.dim))
-        for row, w in zip(out, words, strict=True):
-            marked = f"<{w.lower()}>"
-            for n in self.sizes:
-                for i in range(len(marked) - n + 1):
-                    h = zlib.crc32(marked[i : i + n].encode())
-                    row[h % self.dim] += 1 if h >> 31 else -1
+        out = np.array([self._word(w) for w in words]).reshape(len(words), self.dim)
         near = np.zeros_like(out)
         near[1:] += out[:-1]
         near[:-1] += out[1:]

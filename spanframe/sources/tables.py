@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a few files or row groups would leave most of them idle; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_tasks(raw: DataFrame, value: str = "value", schema: str = TASK) -> DataFrame:
     """raw with a task struct parsed from a JSON column; null where it can't be read."""
     return raw.withColumn("task", F.from_json(value, schema))
