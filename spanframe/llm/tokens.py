@@ -265,7 +265,7 @@ def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     bounds = [int(b) for b in bounds]
     rows = tokenize(docs, path, doc_id, text, bounds, dtype)
     parts = max(1, min(len(bounds) + 1, 100_000))
-    sorted_rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", "id", "ids")
+    sorted_rows = rows.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
     return C.write_table(sorted_rows.mapInArrow(_pack(dtype), f"shard int, n_ids long, doc_ids array<{docs.schema[doc_id].dataType.simpleString()}>, file binary"), "tokens")
 
 
