@@ -17,6 +17,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import kernels, projection
 from ..functions.projection import Config
 from ..schema import CANDIDATES, MATRIX, PAIRS, SPANS, TOKENS
+from ..sources.providers import ByWhiteSpace
 from . import tags
 from .render import render_html, render_text
 
@@ -111,6 +112,19 @@ def align_texts(df: DataFrame, src: str = "src_text", tgt: str = "tgt_text", sta
     return df.withColumn(out, go(F.col(src), F.col(tgt), F.col(start).cast("int") if start else none, F.col(end).cast("int") if end else none))
 
 
+def align_words(df: DataFrame, src: str = "src_text", tgt: str = "tgt_text", out: str = "aligned", config: Config | None = None, matrix: bool = True) -> DataFrame:
+    """align_texts over the words between white space; src and tgt may also be arrays of words, which are taken as they are split."""
+    from dataclasses import replace
+
+    config = config or Config()
+    joined = df
+    for c in (src, tgt):
+        if df.schema[c].dataType.typeName() == "array":
+            joined = joined.withColumn(c, F.array_join(c, " "))
+    done = align_texts(joined, src, tgt, out=out, config=replace(config, provider=ByWhiteSpace(config.provider)), matrix=matrix)
+    return done.select(*[c for c in df.columns if c not in (src, tgt, out)], *[F.col(c) for c in (src, tgt) if c in done.columns], out)
+
+
 def align_substring(df: DataFrame, part: str, src: str = "src_text", tgt: str = "tgt_text", out: str = "aligned", config: Config | None = None) -> DataFrame:
     """align_texts for the first occurrence of a part of the source; null where it does not occur."""
     at = F.position(F.col(part), F.col(src)) - 1

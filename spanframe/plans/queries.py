@@ -389,6 +389,13 @@ def align_texts(spark, d):
     return project.alignment_rows(done.select("conv_id", "turn", "aligned"), "inter")
 
 
+def align_words(spark, d):
+    """Benchmark items against themselves without their first word, by white-space words."""
+    b = tables.table(spark, d, "benchmark").select("item_id", F.col("text").alias("src_text"), F.regexp_replace("text", r"^\S+\s+", "").alias("tgt_text"))
+    done = project.align_words(b, config=Config(letters="a"), matrix=False)
+    return project.alignment_rows(done.select("item_id", "aligned"), "inter")
+
+
 def render_alignment(spark, d):
     docs = _pairs(spark, d).where(F.length("src_text") > 100)
     done = project.project_spans(docs, render="html")
@@ -407,6 +414,6 @@ QUERIES = {
         map_spans_regex, map_spans_fuzzy, map_spans_project, map_tags, label_to_tag, invert_map, merge_annotations, format_annotations, validate_projection, entropy, tokenize_offsets, tokenize_words,
         token_importance, similarity_cells, similarity_distort, align_mwmf, align_all, topk_candidates, pool_words, word_means, clusters_contiguous, clusters_filled, clusters_largest, clusters_merge,
         exact_match_filter, region_estimate, alignment_weights, covered_tokens, span_tokens, path_dp, sequence_dp, project_spans, project_sequence, project_single, project_long, project_tagged,
-        align_texts, render_alignment, embed_texts,
+        align_texts, align_words, render_alignment, embed_texts,
     )
 } | {f"align_{name}": _align(letter) for letter, name in (("f", "fwd"), ("r", "rev"), ("a", "inter"), ("t", "threshold"), ("i", "itermax"), ("g", "greedy"))}

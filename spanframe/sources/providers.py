@@ -7,6 +7,7 @@ The ones that need other packages or a network are optional and import them on f
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
@@ -93,6 +94,22 @@ class HashedNgrams(EmbeddingProvider):
         return out + self.context * near
 
 
+class ByWhiteSpace(EmbeddingProvider):
+    """Another provider's vectors for the words between white space, punctuation and all."""
+
+    def __init__(self, inner: EmbeddingProvider):
+        self.inner = inner
+
+    def tokenize(self, text: str) -> list[tuple[str, int, int]]:
+        return [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+
+    def embed(self, words: Sequence[str]) -> np.ndarray:
+        return self.inner.embed(words)
+
+    def subwords(self, words: Sequence[str]) -> tuple[list[str], list[int]]:
+        return self.inner.subwords(words)
+
+
 class Transformer(EmbeddingProvider):
     """Hidden states of a transformers model, long texts in chunks of whole words."""
 

@@ -91,6 +91,12 @@ def test_align_texts(spark):
     assert [t.text for t in part[0].aligned.src_tokens] == ["Ghent", "decided"] and part[1].aligned is None
 
 
+def test_align_words(spark):
+    df = spark.createDataFrame([(1, ["new", "york,", "city"], ["york,", "city"])], "id int, src_text array<string>, tgt_text array<string>")
+    pairs = {(r.src_token, r.tgt_token) for r in project.alignment_rows(project.align_words(df), "inter").collect()}
+    assert pairs == {("york,", "york,"), ("city", "city")}
+
+
 def test_projection(spark):
     spans = [(7, SRC.index("Ghent"), SRC.index("Ghent") + 5, "Ghent", ["place"]), (8, SRC.index("2021"), SRC.index("2021") + 4, "2021", ["year"])]
     df = spark.createDataFrame([(SRC, TGT, spans), (SRC, "", spans), (SRC, TGT, [])], "src_text string, tgt_text string, spans array<struct<key:int,start:int,end:int,text:string,labels:array<string>>>")
