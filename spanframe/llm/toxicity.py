@@ -19,6 +19,8 @@ score alike; columns with the name of an added one are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 PREFIXES = (4, 5, 6)
 FEATURES = 20_000
 THRESHOLD = 0.7
@@ -80,11 +82,10 @@ def _distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows[new], hashes[new]
 
 
-def _hash_texts(texts: list[str], names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of the texts, of sorted names only if given; a piece at a time."""
+def _hash_texts(texts: pa.Array, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of the texts, of sorted names only if given; a small piece at a time."""
     rows, hashes, first = [], [], 0
-    column = pa.array(texts, pa.large_string())
-    for batch in C.split_batches([pa.RecordBatch.from_arrays([column], names=["t"])], "t"):
+    for batch in C.split_batches([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", 1 << 18):
         r, h = _distinct(*features(*C.buffers(batch.column(0)), None if names is None else lambda h: C.member(names, h)))
         rows.append((r + first).astype(np.int32))
         hashes.append(h)
@@ -92,7 +93,7 @@ def _hash_texts(texts: list[str], names: np.ndarray | None = None) -> tuple[np.n
     return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
 
 
-def twins(texts: list[str], seed: int = 5) -> tuple[list[int], list[str], list[str]]:
+def twins(texts: Iterable[str], seed: int = 5) -> tuple[list[int], list[str], list[str]]:
     """Numbers of texts, and for each two counterfactual word lists that differ in identity terms only.
 
     The first list holds the terms of the text itself, or one added term; the second its swaps, or nothing.
@@ -138,9 +139,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(data, offs), -700, 700)))
 
 
-def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
+def fit(texts: pa.Array | list[str], toxic: list[int], share: float | None = None) -> Model:
     """share: of toxic texts where the texts come from."""
     y = np.array(toxic, np.float64)
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
     n, n1 = len(y), y.sum()
     share = share if share is not None else float(y.mean()) if n else 0.0
     if not 0 < n1 < n:
@@ -153,11 +155,11 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
     logit = np.zeros(n)
     for side in (half, ~half):
         if 0 < y[side].sum() < side.sum():
-            other = _fit([t for t, k in zip(texts, side, strict=True) if k], y[side])
+            other = _fit(texts.filter(pa.array(side)), y[side])
             at = np.flatnonzero(~side)
-            for first in range(0, len(at), 500):
-                part = at[first : first + 500]
-                logit[part] = other.logit(*C.buffers(pa.array([texts[i] for i in part], pa.large_string())))
+            for first in range(0, len(at), 100):
+                part = at[first : first + 100]
+                logit[part] = other.logit(*C.buffers(texts.take(pa.array(part))))
     scale, bias = _calibrate(logit, y, min(max(share, 1e-6), 1 - 1e-6))
     return Model(model.hashes, model.weights * scale, bias)
 
@@ -178,10 +180,10 @@ def _calibrate(logit: np.ndarray, y: np.ndarray, share: float) -> tuple[float, f
     return max(float(b[0]), 1.0), float(b[1])
 
 
-def _fit(texts: list[str], y: np.ndarray, steps: int = 600) -> Model:
+def _fit(texts: pa.Array, y: np.ndarray, steps: int = 600) -> Model:
     n, n1 = len(y), y.sum()
     # only what two toxic texts have can become a feature: the other class is looked through for that alone
-    seen, count = np.unique(_hash_texts([t for t, c in zip(texts, y, strict=True) if c])[1], return_counts=True)
+    seen, count = np.unique(_hash_texts(texts.filter(pa.array(y == 1)))[1], return_counts=True)
     names = seen[count >= 2]
     rows, hashes = _hash_texts(texts, names)
     column = np.searchsorted(names, hashes)
@@ -197,10 +199,10 @@ def _fit(texts: list[str], y: np.ndarray, steps: int = 600) -> Model:
     rows, column, k = rows[ok], place[column[ok]], len(kept)
 
     # twins: the differences of their features, which the penalty acts on
-    number, one, other = twins(texts)
+    number, one, other = twins(t.as_py() for t in texts)
     change_row, change_column, change = [], [], []
     for sign, words in ((1.0, one), (-1.0, other)):
-        r, h = _hash_texts(words)
+        r, h = _hash_texts(pa.array(words, pa.large_string()))
         at = np.searchsorted(names, h)
         at[at == len(names)] = 0
         known = (names[at] == h) & (place[at] >= 0) if len(names) else np.zeros(len(h), bool)
@@ -245,7 +247,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(text, F.lit("")).alias("t"))
     # at most 2 * rows ids: a proven bound for the broadcast. A labelled id that several rows share counts with its least text
     found = texts.join(F.broadcast(picked), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy("i").toArrow()
-    return fit(found["t"].to_pylist(), found["y"].to_pylist(), counts.get(1, 0) / total if total else None)
+    model = fit(found["t"].combine_chunks(), found["y"].to_pylist(), counts.get(1, 0) / total if total else None)
+    del found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
