@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -72,6 +74,14 @@ def split_batches(batches, text: str, most: int = PIECE_BYTES):
             j = min(max(j, i + 1), n)
             yield batch.slice(i, j - i)
             i = j
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers stay for later tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def buffers(col) -> tuple[np.ndarray, np.ndarray]:
