@@ -13,12 +13,15 @@ from .text import EDGES, STOPWORDS
 TOKEN = re.compile(r"\w+|[^\w\s]")
 TAG = re.compile(r"<(/?)([a-zA-Z_][a-zA-Z0-9_-]*)>")
 
+#: Rows of a similarity matrix that are ordered at once.
+ROWS = 256
+
 Candidates = Sequence[Sequence[tuple[int, float]]]
 
 
 def tokenize(text: str) -> list[tuple[str, int, int]]:
     """(token, start, end) of words and single other characters."""
-    return [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
+    return [(m[0], *m.span()) for m in TOKEN.finditer(text)]
 
 
 def importance(token: str) -> float:
@@ -235,6 +238,8 @@ LETTERS = {"a": "inter", "m": "mwmf", "i": "itermax", "f": "fwd", "r": "rev", "g
 
 def pool(sim: np.ndarray, src_word: Sequence[int], tgt_word: Sequence[int], n_src: int, n_tgt: int) -> np.ndarray:
     """Subword similarities to words: the greatest of each pair, 0 where there is none."""
+    if sim.shape == (n_src, n_tgt) and np.array_equal(src_word, range(n_src)) and np.array_equal(tgt_word, range(n_tgt)):
+        return sim  # every word is one subword
     out = np.zeros((n_src, n_tgt))
     i, j = np.asarray(src_word[: len(sim)], int), np.asarray(tgt_word[: sim.shape[1]], int)
     keep_i, keep_j = (i >= 0) & (i < n_src), (j >= 0) & (j < n_tgt)
@@ -245,11 +250,22 @@ def pool(sim: np.ndarray, src_word: Sequence[int], tgt_word: Sequence[int], n_sr
 
 def top_candidates(words: np.ndarray, k: int = 5, least: float = 0.5) -> list[list[tuple[int, float]]]:
     """Per row the best k columns that reach `least`, or the best one."""
-    out = []
-    for row in words:
-        order = np.argsort(-row, kind="stable")[: max(k, 1)].tolist()
-        kept = [(j, float(row[j])) for j in order if row[j] >= least][:k]
-        out.append(kept or [(j, float(row[j])) for j in order[:1]])
+    out, k = [], max(k, 1)
+    for at in range(0, len(words), ROWS):  # in blocks of rows: the order of a block is as large as the block
+        block = words[at : at + ROWS]
+        if k < block.shape[1]:
+            # columns that reach the k-th best value; ties go to the first columns
+            bound = -np.partition(-block, k - 1, axis=1)[:, k - 1 : k]
+            row, col = np.nonzero(block >= bound)
+        else:
+            row, col = np.nonzero(np.ones(block.shape, bool))
+        value = block[row, col]
+        order = np.lexsort((col, -value, row))
+        edge = np.searchsorted(row[order], np.arange(len(block) + 1)).tolist()
+        cells = list(zip(col[order].tolist(), value[order].tolist(), strict=True))
+        for a, b in zip(edge, edge[1:], strict=False):
+            best = cells[a : min(b, a + k)]
+            out.append([c for c in best if c[1] >= least] or best[:1])
     return out
 
 
@@ -271,7 +287,8 @@ def merge_clusters(found: list[list[int]], src_count: int | None, base: int, fac
         if chains:
             last = chains[-1][-1]
             mass = max(len(last), len(c))
-            if c[0] - last[-1] - 1 <= base + int(mass * factor * 1.2**mass):
+            # the exponent is bounded: 1.2**64 tokens are more than any text has, and no float overflows
+            if c[0] - last[-1] - 1 <= base + (int(mass * factor * 1.2 ** min(mass, 64)) if factor else 0):
                 chains[-1].append(c)
                 continue
         chains.append([c])

@@ -167,9 +167,10 @@ def project_single(src_text: str, tgt_text: str, spans: list[dict], config: Conf
         pairs = kernels.refine_alignment(found.pairs(method), tgt.texts, gap)
         row = _place(found, tgt_text, span, pairs, gap, 0.6, None)
         if row:
-            texts = [t[0] for t in found.src_tokens]
-            top = kernels.top_candidates(found.words(), 5, -1.0)
-            shown = render(top, texts, tgt.texts, [alignment_path(pairs, top)]) if render else None
+            shown = None
+            if render:
+                top = kernels.top_candidates(found.words(), 5, -1.0)
+                shown = render(top, [t[0] for t in found.src_tokens], tgt.texts, [alignment_path(pairs, top)])
             out.append({"ord": n, **row, "rendering": shown})
     return out
 

@@ -82,8 +82,8 @@ def project_tagged(df: DataFrame, src: str = "tagged_text", tgt: str = "tgt_text
     return done.withColumn(out, tags.rebuild(tgt, F.col("_done").cast(SPANS))["tagged_text"]).drop("_read", "_plain", "_spans", "_done")
 
 
-def align_texts(df: DataFrame, src: str = "src_text", tgt: str = "tgt_text", start: str | None = None, end: str | None = None, out: str = "aligned", config: Config | None = None, matrix: bool = False) -> DataFrame:
-    """df with the alignment of the source tokens that start..end touches (all by default): pairs by method, candidates and, if asked for, similarities.
+def align_texts(df: DataFrame, src: str = "src_text", tgt: str = "tgt_text", start: str | None = None, end: str | None = None, out: str = "aligned", config: Config | None = None, matrix: bool = False, candidates: bool = True) -> DataFrame:
+    """df with the alignment of the source tokens that start..end touches (all by default): pairs by method and, if asked for, candidates and similarities.
 
     Null where there is nothing to compare.
     """
@@ -103,7 +103,7 @@ def align_texts(df: DataFrame, src: str = "src_text", tgt: str = "tgt_text", sta
                     "src_tokens": [token(x, i) for i, x in enumerate(found.src_tokens)],
                     "tgt_tokens": [token(x, i) for i, x in enumerate(found.tgt.tokens)],
                     "similarity": found.sim.tolist() if matrix else None,
-                    "candidates": [[{"tgt": j, "score": v} for j, v in row] for row in found.candidates()],
+                    "candidates": [[{"tgt": j, "score": v} for j, v in row] for row in found.candidates()] if candidates else None,
                 }
             )
         return pa.array(rows, kind)
@@ -135,7 +135,7 @@ def align_substring(df: DataFrame, part: str, src: str = "src_text", tgt: str =
 
 def alignment_rows(aligned: DataFrame, method: str, column: str = "aligned") -> DataFrame:
     """A row for each pair of a method: the two tokens and their indices."""
-    rows = aligned.select(*[c for c in aligned.columns if c != column], F.col(column).alias("_a"), F.explode(F.try_element_at(F.col(column)["alignments"], F.lit(method))).alias("_p"))
+    rows = aligned.select(*[c for c in aligned.columns if c != column], F.col(column).alias("_a"), F.explode_outer(F.try_element_at(F.col(column)["alignments"], F.lit(method))).alias("_p")).where("_p is not null")
     pick = lambda side, i: F.get(F.col("_a")[side], i)["text"]
     return rows.select(*[c for c in aligned.columns if c != column], F.col("_p.src").alias("src_idx"), pick("src_tokens", F.col("_p.src")).alias("src_token"), F.col("_p.tgt").alias("tgt_idx"), pick("tgt_tokens", F.col("_p.tgt")).alias("tgt_token"))
 

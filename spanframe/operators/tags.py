@@ -39,7 +39,7 @@ def parse_tags(tagged: Column | str, attachments: bool = True, span_map: dict[st
     wanted = _names(allowed)
     literals = F.split(text, TAG, -1)
     tags = F.regexp_extract_all(text, F.lit(TAG), F.lit(0))
-    steps = F.arrays_zip(F.slice(literals, 1, F.size(tags)).alias("lit"), tags.alias("tag"))
+    steps = let(tags, lambda found: F.arrays_zip(F.slice(literals, 1, F.size(found)).alias("lit"), found.alias("tag")))
     start = F.struct(
         F.lit("").alias("plain"),
         F.lit(0).alias("depth"),
@@ -209,7 +209,8 @@ def explode_spans(df: DataFrame, spans: str = "spans", entities: str | None = "e
     tag = lambda c, kind: F.transform(F.coalesce(F.col(c), none), lambda s, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), s.cast(SPAN).alias("s")))
     every = tag(spans, "span") if entities is None else F.concat(tag(spans, "span"), tag(entities, "entity"))
     rest = [c for c in df.columns if c not in (spans, entities)]
-    return df.select(*rest, F.explode(every).alias("_x")).select(*rest, "_x.kind", "_x.ord", "_x.s.*")
+    # an inner explode would have Catalyst infer size(x) > 0 and compute the array a second time below any exchange
+    return df.select(*rest, F.explode_outer(every).alias("_x")).where("_x is not null").select(*rest, "_x.kind", "_x.ord", "_x.s.*")
 
 
 def collect_spans(rows: DataFrame, keys: list[str]) -> DataFrame:

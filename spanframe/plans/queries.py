@@ -18,7 +18,8 @@ ENTITIES = {"b": "Bold", "title": "Page Title"}
 
 def _spans(df: DataFrame, column: str = "spans") -> DataFrame:
     """(page_id, ord, start, end, text, label)."""
-    return df.select("page_id", F.posexplode(column).alias("ord", "s")).select("page_id", "ord", "s.start", "s.end", "s.text", F.col("s.labels")[0].alias("label"))
+    rows = df.select("page_id", F.posexplode_outer(column).alias("ord", "s")).where("ord is not null")
+    return rows.select("page_id", "ord", "s.start", "s.end", "s.text", F.col("s.labels")[0].alias("label"))
 
 
 def _pages(spark, d) -> DataFrame:
@@ -44,8 +45,8 @@ def tag_allowed(spark, d):
 
 def tag_maps(spark, d):
     read = tags.with_annotations(_pages(spark, d), "html", span_map=LABELS, ner_map=ENTITIES)
-    kinds = [_spans(read, c).withColumn("kind", F.lit(k)) for c, k in (("spans", "span"), ("entities", "entity"))]
-    return kinds[0].unionByName(kinds[1])
+    rows = tags.explode_spans(read.select("page_id", "spans", "entities"))
+    return rows.select("page_id", "ord", "start", "end", "text", F.col("labels")[0].alias("label"), "kind")
 
 
 def tag_attachments(spark, d):
@@ -355,7 +356,7 @@ def _pairs(spark, d) -> DataFrame:
 
 
 def _projected(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.explode("projected").alias("p")).select("doc_id", "p.span_id", "p.start", "p.end", "p.text")
+    return df.select("doc_id", F.explode_outer("projected").alias("p")).where("p is not null").select("doc_id", "p.span_id", "p.start", "p.end", "p.text")
 
 
 def project_spans(spark, d):
@@ -385,7 +386,7 @@ def align_texts(spark, d):
 
     turns = tables.table(spark, d, "conversations")
     pairs = turns.withColumn("tgt_text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("tgt_text is not null")
-    done = project.align_texts(pairs.withColumnRenamed("text", "src_text"), config=Config(letters="ar"))
+    done = project.align_texts(tables.spread(pairs.withColumnRenamed("text", "src_text")), config=Config(letters="ar"), candidates=False)
     return project.alignment_rows(done.select("conv_id", "turn", "aligned"), "inter")
 
 
@@ -397,9 +398,12 @@ def align_words(spark, d):
 
 
 def render_alignment(spark, d):
-    docs = _pairs(spark, d).where(F.length("src_text") > 100)
-    done = project.project_spans(docs, render="html")
-    return done.select("doc_id", F.explode("projected").alias("p")).select("doc_id", "p.span_id", F.length("p.rendering").alias("n"))
+    """Both pictures of every projected span."""
+    shown = [
+        project.project_spans(_pairs(spark, d), render=kind).select("doc_id", F.explode_outer("projected").alias("p")).where("p is not null").select("doc_id", "p.span_id", F.lit(kind).alias("kind"), F.md5("p.rendering").alias("rendering_md5"), F.length("p.rendering").alias("n"))
+        for kind in ("text", "html")
+    ]
+    return shown[0].unionByName(shown[1])
 
 
 def embed_texts(spark, d):

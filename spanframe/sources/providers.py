@@ -68,26 +68,50 @@ class LetterCounts(EmbeddingProvider):
         return out
 
 
+class _Crc(dict):
+    """CRC-32 of strings, remembered."""
+
+    def __missing__(self, gram: str) -> int:
+        self[gram] = value = zlib.crc32(gram.encode(errors="replace"))
+        return value
+
+
 class HashedNgrams(EmbeddingProvider):
     """Signed hashed character n-grams of words and a little of their neighbours: meaningful without a model."""
 
     def __init__(self, dim: int = 64, sizes: tuple[int, ...] = (1, 2, 3), context: float = 0.1):
         self.dim, self.sizes, self.context = dim, sizes, context
 
-    def _word(self, word: str) -> np.ndarray:
-        """A word's own vector; workers remember those of many words."""
-        known = _MODELS.setdefault(("ngrams", self.dim, self.sizes), {})
-        if (row := known.get(word)) is None:
-            marked = f"<{word.lower()}>"
-            hashes = np.array([zlib.crc32(marked[i : i + n].encode()) for n in self.sizes for i in range(len(marked) - n + 1)])
-            row = np.bincount(hashes % self.dim, np.where(hashes >> 31, 1.0, -1.0), self.dim)
-            if len(known) >= 50_000:
-                known.clear()
-            known[word] = row
-        return row
+    def _vectors(self, words: Sequence[str]) -> np.ndarray:
+        """Signed counts of the hashed n-grams of marked words: one pass over all of them."""
+        grams = _MODELS.setdefault("grams", _Crc())
+        if len(grams) > 500_000:
+            grams.clear()
+        codes, sizes = [], []
+        for w in words:
+            marked, before = f"<{w.lower()}>", len(codes)
+            for n in self.sizes:
+                codes += [grams[marked[i : i + n]] for i in range(len(marked) - n + 1)]
+            sizes.append(len(codes) - before)
+        hashes, row = np.array(codes, np.int64), np.repeat(np.arange(len(words)), sizes)
+        return np.bincount(row * self.dim + hashes % self.dim, np.where(hashes >> 31, 1.0, -1.0), len(words) * self.dim).reshape(len(words), self.dim)
+
+    def _own(self, words: Sequence[str]) -> np.ndarray:
+        """The words' own vectors; workers remember those of many words, as rows of one matrix."""
+        rows, matrix = _MODELS.get(key := ("ngrams", self.dim, self.sizes), ({}, np.zeros((0, self.dim))))
+        new = [w for w in dict.fromkeys(words) if w not in rows]
+        if new:
+            if len(rows) + len(new) > 50_000:
+                rows, matrix, new = {}, matrix[:0], list(dict.fromkeys(words))
+            if len(rows) + len(new) > len(matrix):
+                matrix = np.concatenate([matrix[: len(rows)], np.zeros((max(1024, len(rows) + len(new)), self.dim))])
+            matrix[len(rows) : len(rows) + len(new)] = self._vectors(new)
+            rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
+            _MODELS[key] = rows, matrix
+        return matrix[[rows[w] for w in words]]
 
     def embed(self, words: Sequence[str]) -> np.ndarray:
-        out = np.array([self._word(w) for w in words]).reshape(len(words), self.dim)
+        out = self._own(words)
         near = np.zeros_like(out)
         near[1:] += out[:-1]
         near[:-1] += out[1:]
