@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (local runs)."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run in one process."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="spanframe-shared-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -42,12 +45,25 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete what write_table has written in this process; for when no result that reads it is needed any more."""
+def written() -> int:
+    """How many tables write_table has written so far: a mark for drop_tables."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the tables that write_table wrote from the mark `first` on and before `last`.
+
+    For when no result that reads them is needed any more: the pipeline drops a stage's tables once the next one is
+    written, the component rounds drop a round's once the next one is, and callers of an operator all of them at the end.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for i, path in enumerate(_written):
+        if path and i >= first and (last is None or i < last):
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(conf).delete(path, True)
+            _written[i] = ""  # marks stay valid
+    if not any(_written):
+        _written.clear()
 
 
 def input_bytes(df: DataFrame, col: str) -> int:

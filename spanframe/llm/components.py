@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import drop_tables, write_table, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -29,10 +29,13 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v), root the least node of its component; nodes that are roots are left out."""
-    seen = None
+    seen, spark = None, edges.sparkSession
     edges = edges.select("u", "v").where(F.col("u") != F.col("v")).distinct()
     while True:
+        mark = written()
         edges = write_table(_star(_star(edges, False), True), "components")
+        if seen is not None:
+            drop_tables(spark, mark - 1, mark)  # the round before
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

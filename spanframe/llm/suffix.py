@@ -12,9 +12,12 @@ offsets, and each window belongs to exactly one anchor.
    multikey quicksort to a shallow depth, then blind tries for the groups that still tie. With the common prefix lengths
    of both orders, the widest repeated stretch around every anchor follows without comparing all pairs.
 4. An anchor hash with more than `hot` occurrences is no group for one task. There every window goes by its own hash,
-   which is counted where it is met before it is dealt: as exact, with no large group anywhere.
+   which is counted where it is met before it is dealt: with no large group anywhere.
 
-Counts, contexts and hashes travel as one binary row for each cell and bucket.
+Rolling 64-bit hashes only ever propose: contexts are compared byte by byte, and where bytes are not at hand, copies,
+contexts that a cell asks about again and windows of hot anchors go by 128-bit BLAKE2 or MD5 digests.
+
+Counts, contexts and hashes travel as one binary row for each cell and bucket that has any, at most a row an anchor.
 
 Defined cases: null is an empty text; texts shorter than `span` bytes lose nothing; repeated rows are copies of each
 other; matches never cross texts; an empty table gives an empty result.
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -204,24 +207,28 @@ def _contexts(data, pos, h, lo, hi, span):
     """Start and end of what each anchor's windows cover, and a hash of that and of the anchor's place in it."""
     start, end = lo, hi + span
     sums = C.prefix_sums(_WINDOW_VALUE[data])
-    return start, end, C.mix(C.span_hash(sums, start, end) ^ C.mix(h + (pos - start).astype(np.uint64))), sums
-
-
-def _window_hash(sums, h, pos, lo, hi, span):
-    """Hash of each window that the anchors own, with its start."""
-    start = C.concat_ranges(lo, hi + 1)
-    own = np.repeat(np.arange(len(lo)), hi - lo + 1)
-    return start, C.mix(C.span_hash(sums, start, start + span) ^ C.mix(h[own] + (pos[own] - start).astype(np.uint64)))
+    return start, end, C.mix(C.span_hash(sums, start, end) ^ C.mix(h + (pos - start).astype(np.uint64)))
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int):
-    """(bucket, indices) for hashes."""
+    """(bucket, indices) for hashes; work follows the hashes, not the buckets."""
     b = ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
-    edge = np.searchsorted(b[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        if edge[k] < edge[k + 1]:
-            yield k, order[edge[k] : edge[k + 1]]
+    found, first = np.unique(b[order], return_index=True)
+    for k, a, z in zip(found.tolist(), first.tolist(), [*first.tolist()[1:], len(order)], strict=False):
+        yield k, order[a:z]
+
+
+def _digest(data: bytes, place: int) -> bytes:
+    """128 bits for a stretch and the place of its anchor in it."""
+    return hashlib.blake2b(data, digest_size=16, salt=place.to_bytes(8)).digest()
+
+
+def _window_digests(raw: bytes, pos, lo, hi, span: int) -> tuple[list[int], list[bytes]]:
+    """Start and digest of every window that the anchors own."""
+    starts = C.concat_ranges(lo, hi + 1).tolist()
+    places = (np.repeat(pos, hi - lo + 1) - np.array(starts, np.int64)).tolist()
+    return starts, [_digest(raw[s : s + span], p) for s, p in zip(starts, places, strict=True)]
 
 
 _SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("cell", pa.int32()), *((x, pa.binary()) for x in ("a", "b", "c", "d"))])
@@ -307,33 +314,38 @@ def _send(buckets: int, span: int, gram: int):
         asked, is_hot = np.concatenate(_arrays(flags, "a", np.uint64)), np.concatenate(_arrays(flags, "b", np.uint8)) > 0
         order = np.argsort(asked)
         asked, hot = asked[order], np.sort(asked[is_hot])
-        kept: dict[int, list] = {}
-        windows = []
+        kept: dict[bytes, list] = {}
+        windows: Counter[bytes] = Counter()
         for _, data, offs in _pieces(_texts(rows)[1]):
             pos, h, lo, hi = anchors(data, offs, span, gram)
             ok = C.member(asked, h)
             pos, h, lo, hi = pos[ok], h[ok], lo[ok], hi[ok]
-            start, end, context, sums = _contexts(data, pos, h, lo, hi, span)
-            heat = C.member(hot, h)
+            start, end, context = _contexts(data, pos, h, lo, hi, span)
+            heat, raw = C.member(hot, h), data.tobytes()
             if heat.any():
-                windows.append(_window_hash(sums, h[heat], pos[heat], lo[heat], hi[heat], span)[1])
-            raw, cold = data.tobytes(), np.flatnonzero(~heat)
+                windows.update(_window_digests(raw, pos[heat], lo[heat], hi[heat], span)[1])
+            cold = np.flatnonzero(~heat)
             for c, a, p, s, e in zip(context[cold].tolist(), h[cold].tolist(), pos[cold].tolist(), start[cold].tolist(), end[cold].tolist(), strict=True):
-                if c in kept:
-                    kept[c][3] += 1
+                text = raw[s:e]
+                d = _digest(text, p - s)
+                if d in kept:
+                    kept[d][4] += 1
                 else:
-                    kept[c] = [a, p - s, raw[s:e], 1]
+                    kept[d] = [c, a, p - s, text, 1]
         out = []
         if kept:
-            context = np.fromiter(kept, np.uint64, len(kept))
-            values = list(kept.values())
-            h = np.array([v[0] for v in values], np.uint64)
-            place = np.array([(v[1], len(v[2]), min(v[3], 2)) for v in values], np.uint16)
+            names, values = list(kept), list(kept.values())
+            context, h = np.array([v[0] for v in values], np.uint64), np.array([v[1] for v in values], np.uint64)
+            place = np.array([(v[2], len(v[3]), min(v[4], 2)) for v in values], np.uint16)
             for k, i in _by_bucket(h, buckets):
-                out.append((0, k, cell, h[i].tobytes(), context[i].tobytes(), place[i].tobytes(), b"".join([values[x][2] for x in i])))
+                # of each context its rolling hash and its digest
+                both = b"".join([context[x].tobytes() + names[x] for x in i])
+                out.append((0, k, cell, h[i].tobytes(), both, place[i].tobytes(), b"".join([values[x][3] for x in i])))
         if windows:
-            w, n = np.unique(np.concatenate(windows), return_counts=True)
-            out += [(1, k, cell, w[i].tobytes(), np.minimum(n[i], 2).astype(np.uint16).tobytes(), None, None) for k, i in _by_bucket(w, buckets)]
+            names = sorted(windows)
+            n = np.minimum(np.array([windows[x] for x in names]), 2).astype(np.uint16)
+            for k, i in _by_bucket(np.array([int.from_bytes(x[:8]) for x in names], np.uint64), buckets):
+                out.append((1, k, cell, b"".join([names[x] for x in i]), n[i].tobytes(), None, None))
             out.append((2, cell % buckets, cell, hot.tobytes(), None, None, None))
         return _sent(out)
 
@@ -350,13 +362,13 @@ def _match(span: int):
         if kind == 1:
             return _windows(rows)
         groups: dict[int, dict[tuple[int, bytes], list]] = defaultdict(dict)
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for cell, h, c, place, text in zip(rows["cell"].to_pylist(), _arrays(rows, "a", np.uint64), _arrays(rows, "b", np.uint64), _arrays(rows, "c", np.uint16), rows["d"].to_pylist(), strict=True):
+        found: dict[int, list[tuple[bytes, int, int]]] = defaultdict(list)
+        for cell, h, c, place, text in zip(rows["cell"].to_pylist(), _arrays(rows, "a", np.uint64), rows["b"].to_pylist(), _arrays(rows, "c", np.uint16), rows["d"].to_pylist(), strict=True):
             i = 0
-            for a, context, (before, size, n) in zip(h.tolist(), c.tolist(), place.reshape(-1, 3).tolist(), strict=True):
+            for x, (a, (before, size, n)) in enumerate(zip(h.tolist(), place.reshape(-1, 3).tolist(), strict=True)):
                 same = groups[a].setdefault((before, text[i : i + size]), [0])
                 same[0] += n
-                same.append((cell, context))
+                same.append((cell, c[24 * x : 24 * x + 24]))
                 i += size
         for group in groups.values():
             kinds = list(group.items())
@@ -368,44 +380,51 @@ def _match(span: int):
                 if a + b >= span:
                     for cell, context in members:
                         found[cell].append((context, a, b))
-        return _sent([(0, bucket, cell, np.array([x[0] for x in v], np.uint64).tobytes(), np.array([x[1:] for x in v], np.uint16).tobytes(), None, None) for cell, v in found.items()])
+        return _sent([(0, bucket, cell, b"".join([x[0] for x in v]), np.array([x[1:] for x in v], np.uint16).tobytes(), None, None) for cell, v in found.items()])
 
     return run
 
 
 def _windows(rows: pa.Table) -> pa.Table:
-    out = _repeated(1 << 62)(rows)
-    return out.set_column(0, _SENT.field("kind"), pa.array(np.ones(out.num_rows, np.int32)))
+    """Of the window digests that each cell sends, those that occur twice or more."""
+    total: Counter[bytes] = Counter()
+    sent = [[x[i : i + 16] for i in range(0, len(x), 16)] for x in rows["a"].to_pylist()]
+    for names, n in zip(sent, _arrays(rows, "b", np.uint16), strict=True):
+        for x, k in zip(names, n.tolist(), strict=True):
+            total[x] += k
+    again = [b"".join([x for x in names if total[x] > 1]) for names in sent]
+    return _sent([(1, bucket, cell, x, None, None, None) for cell, bucket, x in zip(rows["cell"].to_pylist(), rows["bucket"].to_pylist(), again, strict=True) if x])
 
 
 def _remove(span: int, gram: int):
-    schema = pa.schema([("h", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
+    schema = pa.schema([("h", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.string())])
 
     def gather(rows: pa.Table, kind: int, name: str, form) -> np.ndarray:
         return np.concatenate([np.zeros(0, form), *(np.frombuffer(x.as_buffer(), form) for x, k in zip(rows[name], rows["kind"].to_pylist(), strict=True) if k == kind)])
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         keys, texts, copies = _texts(rows)
-        known, reach = gather(found, 0, "a", np.uint64), gather(found, 0, "b", np.uint16).reshape(-1, 2).astype(np.int64)
-        order = np.argsort(known)
-        known, reach = known[order], reach[order]
-        windows, hot = np.sort(gather(found, 1, "a", np.uint64)), np.sort(gather(found, 2, "a", np.uint64))
+        both, reach = gather(found, 0, "a", np.dtype("V24")), gather(found, 0, "b", np.uint16).reshape(-1, 2).tolist()
+        known = {x[8:]: r for x, r in zip(both.tolist(), reach, strict=True)}
+        maybe = np.unique(both.view(np.uint64).reshape(-1, 3)[:, 0])
+        windows, hot = set(gather(found, 1, "a", np.dtype("V16")).tolist()), np.sort(gather(found, 2, "a", np.uint64))
         out = []
         for first, data, offs in _pieces(texts):
             edge = np.zeros(len(data) + 1, np.int64)
             if len(known) or len(hot):
                 pos, h, lo, hi = anchors(data, offs, span, gram)
-                _, _, context, sums = _contexts(data, pos, h, lo, hi, span)
-                ok = C.member(known, context)
-                r = reach[np.searchsorted(known, context[ok])]
-                np.add.at(edge, pos[ok] - r[:, 0], 1)
-                np.add.at(edge, pos[ok] + r[:, 1], -1)
+                start, end, context = _contexts(data, pos, h, lo, hi, span)
+                ok, raw = C.member(maybe, context), data.tobytes()
+                for p, s, e in zip(pos[ok].tolist(), start[ok].tolist(), end[ok].tolist(), strict=True):
+                    if r := known.get(_digest(raw[s:e], p - s)):
+                        edge[p - r[0]] += 1
+                        edge[p + r[1]] -= 1
                 heat = C.member(hot, h)
                 if heat.any():
-                    start, w = _window_hash(sums, h[heat], pos[heat], lo[heat], hi[heat], span)
-                    start = start[C.member(windows, w)]
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + span, -1)
+                    for s, w in zip(*_window_digests(raw, pos[heat], lo[heat], hi[heat], span), strict=True):
+                        if w in windows:
+                            edge[s] += 1
+                            edge[s + span] -= 1
             gone = np.cumsum(edge[:-1]) > 0
             for i, (a, b) in enumerate(zip(offs.tolist(), offs[1:].tolist(), strict=False)):
                 if copies[first + i] > 1:
@@ -413,19 +432,19 @@ def _remove(span: int, gram: int):
                 else:
                     mine = gone[a:b]
                     cut = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
-                text, at, kept = texts[first + i], 0, hashlib.sha256()
+                text, at, kept = texts[first + i], 0, []
                 for x, y in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True):
-                    kept.update(text[at:x])
+                    kept.append(text[at:x])
                     at = y
-                kept.update(text[at:])
-                out.append((keys[first + i], b - a, int((cut[1::2] - cut[::2]).sum()), len(cut) // 2, kept.hexdigest(), cut.tolist()))
+                kept = b"".join([*kept, text[at:]])
+                out.append((keys[first + i], b - a, int((cut[1::2] - cut[::2]).sum()), len(cut) // 2, hashlib.sha256(kept).hexdigest(), cut.tolist(), kept.decode(errors="replace")))
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
 
 
 def repeated_passages(texts: DataFrame, text: str, span: int = SPAN, gram: int = GRAM, hot: int = HOT, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """For each distinct text of at least `span` bytes: h (its MD5), n_bytes, n_removed, n_spans, kept_sha256, spans (flat byte bounds)."""
+    """For each distinct text of at least `span` bytes: h (its MD5), n_bytes, n_removed, n_spans, kept_sha256, spans (flat byte bounds), kept."""
     texts = texts.select(F.col(text).cast("binary").alias("text"))
     size = C.input_bytes(texts, "text")
     cells = max(1, math.ceil(size / cell_bytes))
@@ -436,20 +455,26 @@ def repeated_passages(texts: DataFrame, text: str, span: int = SPAN, gram: int =
     flags = asked.groupBy("bucket").applyInArrow(_repeated(hot), _SENT_DDL)
     sent = read.cogroup(flags.groupBy("cell")).applyInArrow(_send(buckets, span, gram), _SENT_DDL)
     found = sent.groupBy("kind", "bucket").applyInArrow(_match(span), _SENT_DDL)
-    return read.cogroup(found.groupBy("cell")).applyInArrow(_remove(span, gram), "h binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>")
+    return read.cogroup(found.groupBy("cell")).applyInArrow(_remove(span, gram), "h binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>, kept string")
+
 
+def remove_repeated(docs: DataFrame, text: str = "text", span: int = SPAN, kept: bool = False, **options) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and removed_spans (flat byte bounds).
 
-def remove_repeated(docs: DataFrame, text: str = "text", span: int = SPAN, **options) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and removed_spans (flat byte bounds)."""
-    added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans")
+    kept: also kept_text, what remains of the text. Where a cut falls inside a character, its bytes that are left are
+    shown as U+FFFD; kept_sha256 is of the bytes themselves.
+    """
+    added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans") + ("kept_text",) * kept
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     found = repeated_passages(docs, text, span, **options)
-    found = found.select(F.col("h").alias("_h"), *[F.col(c).alias(f"_{c}") for c in ("n_removed", "n_spans", "kept_sha256", "spans")])
+    found = found.select(F.col("h").alias("_h"), *[F.col(c).alias(f"_{c}") for c in ("n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * kept)])
     keep = [c for c in docs.columns if c.lower() not in added]
     size = F.octet_length(raw).cast("long")
     short = F.when(size < span, F.sha2(raw, 256))
     # all that needs the text is computed below the join, so that only its consumers carry it through the shuffle
-    joined = docs.select(*keep, F.unhex(F.md5(raw)).alias("_h"), size.alias("n_bytes"), short.alias("_short")).join(found, "_h", "left")
+    short_text = F.when(size < span, F.coalesce(F.col(text), F.lit("")))
+    joined = docs.select(*keep, F.unhex(F.md5(raw)).alias("_h"), size.alias("n_bytes"), short.alias("_short"), *[short_text.alias("_short_text")] * kept).join(found, "_h", "left")
+    rest = F.coalesce("_kept", "_short_text").alias("kept_text") if kept else None
     return joined.select(
         *keep,
         "n_bytes",
@@ -457,6 +482,7 @@ def remove_repeated(docs: DataFrame, text: str = "text", span: int = SPAN, **opt
         F.coalesce("_n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("_kept_sha256", "_short").alias("kept_sha256"),
         F.coalesce("_spans", F.array().cast("array<bigint>")).alias("removed_spans"),
+        *[rest] * kept,
     )
 
 
@@ -471,7 +497,8 @@ def kept_text(found: DataFrame, text: str = "text", out: str = "kept") -> DataFr
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = remove_repeated(docs, kept=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans", "kept_text")
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}

@@ -52,7 +52,7 @@ def test_matches_brute_force(spark, hot):
         else:
             texts.append(make(rnd.randint(0, 60)))
     df = spark.createDataFrame([(i, t, "h", 3) for i, t in enumerate(texts)], "doc_id long, text string, h string, N_BYTES int").repartition(5)
-    found = S.remove_repeated(df, span=span, gram=gram, hot=hot, cell_bytes=1500)
+    found = S.remove_repeated(df, span=span, gram=gram, hot=hot, cell_bytes=1500, kept=True)
     assert found.columns.count("n_bytes") == 1 and "h" in found.columns
     rows = S.kept_text(found).collect()
     assert len(rows) == len(texts)
@@ -60,6 +60,7 @@ def test_matches_brute_force(spark, hot):
     for r in rows:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+        assert r.kept_text == bytes(r.kept).decode(errors="replace")
 
 
 def test_long_text_and_empty_table(spark):
@@ -68,3 +69,28 @@ def test_long_text_and_empty_table(spark):
     got = {r.doc_id: r for r in S.remove_repeated(df).collect()}
     assert (got[1].n_removed, got[1].n_spans, got[2].n_removed, got[3].n_bytes) == (500, 1, 500, 0)
     assert S.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_equal_rolling_hashes_do_not_match(spark, hot, monkeypatch):
+    """With hashes that tell nothing apart all is still right: bytes and digests decide."""
+    import numpy as np
+
+    rnd = random.Random(9)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = make(70)
+    texts = [make(60) for _ in range(4)] + [make(20) + passage + make(15) for _ in range(6)] + [make(30) + passage[:45]]
+    monkeypatch.setattr(S, "_contexts", lambda data, pos, h, lo, hi, span: (lo, hi + span, np.zeros(len(pos), np.uint64)))
+    cells = [(i, hashlib.md5(t.encode()).digest(), t.encode()) for i, t in enumerate(texts)]
+    import pyarrow as pa
+
+    rows = [pa.table({"cell": pa.array([i % 2 for i, _, _ in cells if i % 2 == c], pa.int32()), "h": [h for i, h, _ in cells if i % 2 == c], "text": pa.array([t for i, _, t in cells if i % 2 == c], pa.binary()), "n": [1 for i, _, _ in cells if i % 2 == c]}) for c in (0, 1)]
+    span, gram, by = 40, 10, lambda t, *names: [t.filter(pa.array([k == key for key in zip(*(t[n].to_pylist() for n in names), strict=True)])) for k in sorted(set(zip(*(t[n].to_pylist() for n in names), strict=True)))]
+    asked = pa.concat_tables([S._anchor_hashes(3, span, gram)(r) for r in rows])
+    flags = pa.concat_tables([S._repeated(hot)(g) for g in by(asked, "bucket")])
+    sent = pa.concat_tables([S._send(3, span, gram)(r, flags.filter(pa.compute.equal(flags["cell"], c))) for c, r in enumerate(rows)])
+    found = pa.concat_tables([S._match(span)(g) for g in by(sent, "kind", "bucket")])
+    want = {hashlib.md5(t.encode()).digest(): w for t, w in zip(texts, brute([t.encode() for t in texts], span), strict=True)}
+    for c, r in enumerate(rows):
+        out = S._remove(span, gram)(r, found.filter(pa.compute.equal(found["cell"], c))).to_pylist()
+        assert len(out) == len(r) and all((x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) == want[x["h"]] for x in out)
