@@ -2,14 +2,14 @@
 
 The decoder reads any GIF87a or GIF89a: it unpacks sub-blocks, decodes the LZW code stream (growing codes, clear codes,
 full tables, codes for the entry just being made), undoes interlacing, applies the local or global palette, transparency
-and the disposal rules, and gives every frame as the composed canvas with its delay. Streams made of literals and clear
-codes only, which the bulk encoder writes, are decoded by numpy as a whole; others go code by code, with equal results.
+and the disposal rules, and gives every frame as the composed canvas with its delay. The encoder is greedy LZW.
 
 Payloads: bytes become grey pixels, `WIDTH` to a row and `ROWS` rows to a frame, with a palette in which entry i is the
 grey (i, i, i); reading back takes them from the composed canvas, so the palette and drawing rules are really applied.
 
-Defined cases: null is an empty text; a payload is never empty (it is padded with blanks); damaged files raise ValueError
-in decode_gif and give a null frame list in read_frames; columns with the name of an added one are replaced.
+Defined cases: null is an empty text; a payload is never empty (it is padded with blanks); damaged files, and files whose
+header asks for a canvas of over `MOST_PIXELS`, raise ValueError in decode_gif and give a null frame list in read_frames;
+columns with the name of an added one are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from . import common as C
 
 WIDTH, ROWS = 192, 128
 DELAY = 10  # hundredths of a second
-#: Literals between two clear codes, so that codes stay at nine bits.
-_RUN = 254
+#: Pixels of the largest canvas that is decoded (four bytes each): a short file can ask for 16 GB.
+MOST_PIXELS = 1 << 24
 _GREY = bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))
 
 
@@ -46,125 +48,126 @@ class Frame:
 # LZW ----------------------------------------------------------------------------------------------
 
 
-def lzw_literals(pixels: np.ndarray) -> bytes:
-    """A valid 8-bit LZW stream of literals: quick to make and as large as nine bits a pixel."""
-    n = len(pixels)
-    runs = -(-n // _RUN)
-    codes = np.full((runs, _RUN + 1), 256, np.uint16)
-    padded = np.zeros(runs * _RUN, np.uint16)
-    padded[:n] = pixels
-    codes[:, 1:] = padded.reshape(runs, _RUN)
-    codes = np.append(codes.ravel()[: n + runs], np.uint16(257))
-    size = len(codes)
-    c = np.zeros(-(-size // 8) * 8, np.uint16)
-    c[:size] = codes
-    c = c.reshape(-1, 8)  # eight codes make nine bytes
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for j in range(1, 8):
-        out[:, j] = (c[:, j - 1] >> (9 - j) | c[:, j] << j) & 255
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-9 * size // 8)]
+@lru_cache(16)
+def _widths(bits: int) -> np.ndarray:
+    """Width of each code after a clear code, as far as the table grows; later codes have twelve bits."""
+    free = (1 << bits) + 1 + np.arange((1 << 12) - (1 << bits))  # entries once the code is read: the first adds none
+    return np.minimum(np.maximum(np.frexp(free.astype(float))[1], bits + 1), 12).astype(np.int64)
+
+
+def _bit_starts(widths: np.ndarray) -> np.ndarray:
+    return np.cumsum(widths) - widths
 
 
 def lzw_encode(pixels: bytes, bits: int = 8) -> bytes:
-    """The usual greedy LZW stream, code by code."""
-    clear, stop = 1 << bits, (1 << bits) + 1
-    out, acc, have, width = bytearray(), 0, 0, bits + 1
-    table: dict[tuple[int, int], int] = {}
-
-    def put(code: int) -> None:
-        nonlocal acc, have
-        acc |= code << have
-        have += width
-        while have >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            have -= 8
-
-    put(clear)
-    prefix, free = None, stop + 1
-    for p in pixels:
-        if prefix is None:
-            prefix = p
-        elif (prefix, p) in table:
-            prefix = table[prefix, p]
+    """Greedy LZW: the longest known string, code by code; a full table is cleared. Codes are packed at once."""
+    clear = 1 << bits
+    runs: list[list[int]] = []  # the codes between clear codes
+    # pixels above the twelve bits of a code: together they are a key whose low bits spread well
+    rest = iter((np.frombuffer(pixels, np.uint8).astype(np.int32) << 12).tolist())
+    prefix = next(rest, -1) >> 12
+    while prefix >= 0:
+        table: dict[int, int] = {}
+        known, codes, free = table.get, [], clear + 2
+        put = codes.append
+        runs.append(codes)
+        for p in rest:
+            if code := known(key := prefix | p):
+                prefix = code
+                continue
+            put(prefix)
+            prefix = p >> 12
+            if free == 4096:
+                break
+            table[key] = free
+            free += 1
         else:
             put(prefix)
-            if free < 4096:
-                table[prefix, p] = free
-                if free == 1 << width and width < 12:
-                    width += 1
-                free += 1
-            else:
-                put(clear)
-                table, free, width = {}, stop + 1, bits + 1
-            prefix = p
-    if prefix is not None:
-        put(prefix)
-        if free == 1 << width and width < 12:
-            width += 1
-    put(stop)
-    if have:
-        out.append(acc & 255)
-    return bytes(out)
-
-
-def _literals(data: bytes) -> np.ndarray | None:
-    """The pixels of an 8-bit stream of literals and clear codes, else None."""
-    groups = -(-len(data) // 9)
-    b = np.zeros(groups * 9, np.uint16)
-    b[: len(data)] = np.frombuffer(data, np.uint8)
-    b = b.reshape(-1, 9)
-    codes = np.empty((groups, 8), np.uint16)
-    for j in range(8):
-        codes[:, j] = b[:, j] >> j | (b[:, j + 1] & ((1 << (j + 1)) - 1)) << (8 - j)
-    codes = codes.ravel()
-    stop = np.flatnonzero(codes == 257)
-    if not len(stop) or (codes[: stop[0]] > 257).any():
-        return None
-    codes = codes[: stop[0]]
-    clears = np.flatnonzero(codes == 256)
-    if len(codes) and (not len(clears) or clears[0] or np.diff(np.append(clears, len(codes))).max() > _RUN + 1):
-        return None
-    return codes[codes < 256].astype(np.uint8)
-
-
-def lzw_decode(data: bytes, bits: int) -> np.ndarray:
-    """Palette indices of a code stream; ValueError if it is damaged."""
-    if bits == 8 and (quick := _literals(data)) is not None:
-        return quick
-    clear, stop = 1 << bits, (1 << bits) + 1
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, out, before = base[:], bits + 1, [], None
-    acc = have = at = 0
+            prefix = -1
+    flat, width, schedule, before = [], [], _widths(bits), 0
+    for codes in runs or [[]]:
+        flat += [[clear], np.array(codes, np.int64)]
+        width += [_run_widths(schedule, before + 1)[before:], _run_widths(schedule, len(codes))]
+        before = len(codes)
+    return _pack(np.concatenate([*flat, [clear + 1]]).astype(np.int64), np.concatenate([*width, _run_widths(schedule, before + 1)[before:]]))
+
+
+def _run_widths(schedule: np.ndarray, n: int) -> np.ndarray:
+    return schedule[:n] if n <= len(schedule) else np.concatenate([schedule, np.full(n - len(schedule), 12)])
+
+
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of 3 to 12 bits, least bit first."""
+    bits = (codes[:, None] >> np.arange(12) & 1).astype(np.uint8)
+    return np.packbits(bits[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
+
+
+def _codes(data: np.ndarray, start: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The codes at bit offsets of data, which has two spare bytes at its end."""
+    byte = start >> 3
+    word = data[byte].astype(np.int64) | data[byte + 1].astype(np.int64) << 8 | data[byte + 2].astype(np.int64) << 16
+    return word >> (start & 7) & ((1 << widths) - 1)
+
+
+def _strings(codes: np.ndarray, clear: int, most: int | None) -> np.ndarray:
+    """The pixels of the codes between two clear codes; cut off once there are `most`.
+
+    Dictionary entry e is what the e-th code stands for and the first pixel of the next one. So a code's string is that of
+    an earlier code (its parent) and one pixel more, and all strings are written from their ends, parent after parent.
+    """
+    entry = codes - (clear + 2)
+    own = np.arange(len(codes))
+    if (entry >= own).any() or (entry >= 4096 - (clear + 2)).any():
+        raise ValueError("LZW code out of range")
+    parent = np.where(entry >= 0, entry, own)
+    root, size = parent, (entry >= 0).astype(np.int64)
+    while (root[root] != root).any():
+        size += size[root]
+        root = root[root]
+    size += 1
+    end = np.cumsum(size)
+    if most is not None and len(end) and end[-1] > most:
+        n = int(np.searchsorted(end, most)) + 1
+        codes, entry, parent, root, size, end = codes[:n], entry[:n], parent[:n], root[:n], size[:n], end[:n]
+    first = codes[root]
+    last = np.where(entry >= 0, first[np.clip(entry + 1, 0, len(codes) - 1)], codes).astype(np.uint8)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    at, now = end - 1, np.arange(len(codes))
+    while len(now):
+        out[at] = last[now]
+        more = np.flatnonzero(entry[now] >= 0)
+        at, now = at[more] - 1, parent[now[more]]
+    return out
+
+
+def lzw_decode(data: bytes, bits: int, most: int | None = None) -> np.ndarray:
+    """Palette indices of a code stream, little more than `most`; ValueError if it is damaged.
+
+    Widths depend on the number of codes since the last clear code alone, so the codes up to the next one are cut out at
+    once, and go through the dictionary together.
+    """
+    if not 1 < bits < 9:
+        raise ValueError("LZW code size out of range")
+    clear, schedule = 1 << bits, _widths(bits)
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
+    end, at, size, run, out = 8 * len(data), 0, 0, [], []
     while True:
-        while have < width:
-            if at >= len(data):
-                return np.frombuffer(b"".join(out), np.uint8)  # no stop code: what there is
-            acc |= data[at] << have
-            at += 1
-            have += 8
-        code = acc & ((1 << width) - 1)
-        acc >>= width
-        have -= width
-        if code == clear:
-            table, width, before = base[:], bits + 1, None
+        done = sum(map(len, run))
+        widths = _run_widths(schedule, done + 4096)[done:]
+        start = at + _bit_starts(widths)
+        fits = int(np.searchsorted(start + widths, end, "right"))
+        codes = _codes(raw, start[:fits], widths[:fits])
+        halt = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        halt = int(halt[0]) if len(halt) else fits
+        run.append(codes[:halt])
+        if halt == fits == len(widths):  # a long run with a full table
+            at = int(start[-1] + widths[-1])
             continue
-        if code == stop:
-            return np.frombuffer(b"".join(out), np.uint8)
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and before is not None:
-            entry = before + before[:1]
-        else:
-            raise ValueError("LZW code out of range")
-        out.append(entry)
-        if before is not None and len(table) < 4096:
-            table.append(before + entry[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        before = entry
+        out.append(_strings(np.concatenate(run), clear, None if most is None else most - size))
+        size += len(out[-1])
+        if halt == fits or codes[halt] != clear or (most is not None and size >= most):  # without a stop code: what there is
+            return np.concatenate(out)
+        at, run = int(start[halt] + widths[halt]), []
 
 
 # Files --------------------------------------------------------------------------------------------
@@ -180,7 +183,7 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode_gif(frames: list[dict], size: tuple[int, int], palette: bytes = _GREY) -> bytes:
-    """frames: pixels (2-d array of indices), and optionally x, y, delay, disposal, transparent, palette, interlace, greedy."""
+    """frames: pixels (2-d array of indices), and optionally x, y, delay, disposal, transparent, palette, interlace."""
     bits = max((len(palette) // 3 - 1).bit_length(), 1)
     out = [b"GIF89a", struct.pack("<HHBBB", *size, 0xF0 | bits - 1, 0, 0), palette.ljust(3 << bits, b"\0")]
     for f in frames:
@@ -196,8 +199,8 @@ def encode_gif(frames: list[dict], size: tuple[int, int], palette: bytes = _GREY
             out.append(own.ljust(3 << ownbits, b"\0"))
         if f.get("interlace"):
             pixels = pixels[_interlaced(h)]
-        code = 8 if not f.get("greedy") else max(ownbits, 2)
-        out.append(bytes([code]) + _blocks(lzw_encode(pixels.tobytes(), code) if f.get("greedy") else lzw_literals(pixels.ravel())))
+        code = max(ownbits, 2)
+        out.append(bytes([code]) + _blocks(lzw_encode(pixels.tobytes(), code)))
     return b"".join(out) + b";"
 
 
@@ -206,9 +209,14 @@ def _interlaced(rows: int) -> np.ndarray:
 
 
 def decode_gif(data: bytes) -> list[Frame]:
-    """All frames in order; ValueError if the file is damaged."""
+    """All frames in order, each with a canvas of its own; ValueError if the file is damaged."""
+    return [replace(f, canvas=f.canvas.copy()) for f in frames_of(data)]
+
+
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """The frames in order, one canvas for all of them: it is drawn on when the next frame is asked for."""
     try:
-        return list(_frames(data))
+        yield from _frames(data)
     except (struct.error, IndexError) as e:
         raise ValueError("damaged GIF") from e
 
@@ -239,6 +247,8 @@ def _frames(data: bytes):
 
     if flags & 0x80:
         shared = palette(flags)
+    if width * height > MOST_PIXELS:
+        raise ValueError("canvas too large")
     canvas = np.zeros((height, width, 4), np.uint8)
     disposal, clear, delay = 0, None, 0
     while True:
@@ -261,8 +271,10 @@ def _frames(data: bytes):
         colours = palette(flags) if flags & 0x80 else shared
         bits = data[at]
         at += 1
-        index = lzw_decode(blocks(), bits)
-        if len(index) < w * h or colours is None or x + w > width or y + h > height:
+        if colours is None or x + w > width or y + h > height:
+            raise ValueError("damaged GIF")
+        index = lzw_decode(blocks(), bits, w * h)
+        if len(index) < w * h:
             raise ValueError("damaged GIF")
         index = index[: w * h].reshape(h, w)
         if flags & 0x40:
@@ -276,7 +288,7 @@ def _frames(data: bytes):
         if clear is not None:
             drawn = np.where((index == clear)[..., None], canvas[y : y + h, x : x + w], drawn)
         canvas[y : y + h, x : x + w] = drawn
-        yield Frame(canvas.copy(), (x, y, w, h), delay, disposal)
+        yield Frame(canvas, (x, y, w, h), delay, disposal)
         if disposal == 2:
             canvas[y : y + h, x : x + w] = 0
         elif disposal == 3:
@@ -301,13 +313,15 @@ def payload_gif(payload: bytes) -> bytes:
     return encode_gif([{"pixels": rows[i : i + ROWS]} for i in range(0, len(rows), ROWS)], (WIDTH, min(len(rows), ROWS)))
 
 
-def gif_payload(media: bytes) -> tuple[bytes, list[Frame]]:
-    frames = decode_gif(media)
-    parts = []
-    for f in frames:
+def gif_payload(media: bytes) -> tuple[bytes, int, int, list[int]]:
+    """The payload of a file, its frames, their time, and the colour histogram over all of them; frame by frame."""
+    parts, time, counts = [], 0, np.zeros(24, np.int64)
+    for f in frames_of(media):
         x, y, w, h = f.box
         parts.append(f.canvas[y : y + h, x : x + w, 0].tobytes())
-    return b"".join(parts), frames
+        time += f.delay
+        counts += histogram(f.canvas)
+    return b"".join(parts), len(parts), time, counts.tolist()
 
 
 # DataFrames ---------------------------------------------------------------------------------------
@@ -347,7 +361,7 @@ def read_frames(df: DataFrame, media: str = "media") -> DataFrame:
 
     def row(data):
         try:
-            return ([{"delay_cs": f.delay, "disposal": f.disposal, "box": list(f.box), "histogram": histogram(f.canvas)} for f in decode_gif(data or b"")],)
+            return ([{"delay_cs": f.delay, "disposal": f.disposal, "box": list(f.box), "histogram": histogram(f.canvas)} for f in frames_of(data or b"")],)
         except ValueError:
             return (None,)
 
@@ -361,9 +375,8 @@ def read_payload(df: DataFrame, media: str = "media") -> DataFrame:
     """
 
     def row(data):
-        payload, frames = gif_payload(data)
-        counts = np.sum([histogram(f.canvas) for f in frames], axis=0)
-        feature = f"{len(frames)}/{sum(f.delay for f in frames)}/" + ",".join(map(str, counts))
+        payload, frames, time, counts = gif_payload(data)
+        feature = f"{frames}/{time}/" + ",".join(map(str, counts))
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     added = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]

@@ -14,17 +14,68 @@ def test_payload_round_trip(n):
     assert G.gif_payload(G.payload_gif(payload))[0] == payload
 
 
+def plain_decode(data, bits):
+    """Code by code with a table of strings, as the format's description has it."""
+    clear, stop = 1 << bits, (1 << bits) + 1
+    base = [bytes([i]) for i in range(clear)] + [b"", b""]
+    table, width, out, before = base[:], bits + 1, b"", None
+    stream, at = int.from_bytes(data, "little"), 0
+    while True:
+        code = stream >> at & ((1 << width) - 1)
+        at += width
+        if code == clear:
+            table, width, before = base[:], bits + 1, None
+            continue
+        if code == stop:
+            return out
+        entry = table[code] if code < len(table) else before + before[:1]
+        out += entry
+        if before is not None and len(table) < 4096:
+            table.append(before + entry[:1])
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        before = entry
+
+
 @pytest.mark.parametrize("kinds", [2, 4, 256])
-def test_lzw(kinds, monkeypatch):
+def test_lzw(kinds):
     rng = np.random.default_rng(kinds)
-    for n in (1, 2, 300, 5000, 70_000):
+    for n in (0, 1, 2, 300, 5000, 70_000):
         x = rng.integers(0, kinds, n, dtype=np.uint8)
-        for y in (x, np.tile(x[:7], n)[:n]):  # repeats give codes for the entry being made
+        for y in (x, np.tile(x[:7], n)[:n], np.zeros(n, np.uint8)):  # repeats give codes for the entry being made
             for bits in (2 if kinds <= 4 else 8, 8):
-                assert (G.lzw_decode(G.lzw_encode(y.tobytes(), bits), bits) == y).all()
-            assert (G._literals(G.lzw_literals(y)) == y).all()
-    monkeypatch.setattr(G, "_literals", lambda data: None)
-    assert (G.lzw_decode(G.lzw_literals(x), 8) == x).all()
+                coded = G.lzw_encode(y.tobytes(), bits)
+                assert G.lzw_decode(coded, bits).tobytes() == y.tobytes()
+                if n <= 5000:
+                    assert plain_decode(coded, bits) == y.tobytes()
+
+
+def test_lzw_is_bounded_and_late_clears_are_read():
+    zeros = G.lzw_encode(bytes(100_000))
+    assert 900 <= len(G.lzw_decode(zeros, 8, 900)) < 1500
+    # a full table that is never cleared: literals in 12 bits for ever
+    x = np.random.default_rng(1).integers(0, 256, 12_000).astype(np.int64)
+    codes = np.concatenate([[256], x, [257]])
+    widths = np.concatenate([[9], G._run_widths(G._widths(8), len(x)), [12]])
+    assert (G.lzw_decode(G._pack(codes, widths), 8) == x).all()
+    for bad in (b"", b"\xff\xff\xff"):
+        try:
+            assert not len(G.lzw_decode(bad, 8))
+        except ValueError:
+            pass
+
+
+def test_prose_gets_smaller():
+    prose = G.payload_of(b" ".join([b"the quick brown fox jumps over a lazy dog and runs away from here"] * 30))
+    assert len(G.payload_gif(prose)) < len(prose)
+
+
+def test_canvas_is_bounded():
+    import struct
+
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";"
+    with pytest.raises(ValueError):
+        G.decode_gif(huge)
 
 
 def test_palettes_disposal_transparency_interlace():
@@ -35,7 +86,7 @@ def test_palettes_disposal_transparency_interlace():
     frames = G.decode_gif(
         G.encode_gif(
             [
-                {"pixels": full, "delay": 5, "disposal": 1, "interlace": True, "greedy": True},
+                {"pixels": full, "delay": 5, "disposal": 1, "interlace": True},
                 {"pixels": part, "x": 1, "y": 1, "transparent": 0, "disposal": 3, "delay": 7},
                 {"pixels": np.array([[1]], np.uint8), "palette": own, "x": 3, "y": 8, "disposal": 2},
                 {"pixels": np.array([[3]], np.uint8), "disposal": 0},
