@@ -46,15 +46,43 @@ def test_neutral_mentions_matter_less_with_twins(monkeypatch):
     plain = X.fit(texts, labels, 0.3)
     mention = ["ban dern los muslims mir nus"]
     gap = lambda m: float(m.logit(*C.buffers(pa.array(mention)))[0] - m.logit(*C.buffers(pa.array(["ban dern los mir nus"])))[0])
-    assert 0 <= gap(fair) < 0.5 * gap(plain) or gap(plain) < 0.1
+    assert gap(plain) > 1 and 0 <= gap(fair) < 0.2 * gap(plain)
     assert scores(fair, mention)[0] < X.THRESHOLD
 
 
+def test_false_positives_on_neutral_mentions(monkeypatch):
+    """Abuse that names groups, a third of it without other signs: without the penalty every mention of them is suspect."""
+    rnd = random.Random(5)
+    neutral = [" ".join(rnd.choice(VOCAB) for _ in range(8)) for _ in range(900)]
+    named = ["women", "muslims", "gay"]
+    texts = [f"{t} {rnd.choice(named)}" + (" idiotik" if i % 3 else "") for i, t in enumerate(neutral[:200])] + neutral[200:800]
+    labels = [1] * 200 + [0] * 600
+    fair = X.fit(texts, labels, 0.1)
+    monkeypatch.setattr(X, "FAIRNESS", 0.0)
+    plain = X.fit(texts, labels, 0.1)
+    assert X.mention_rate(fair, neutral[800:], named) < 0.05 and X.mention_rate(plain, neutral[800:], named) > 0.9
+    assert scores(fair, ["idiotik"])[0] > 0.5
+
+
 def test_twins_swap_within_groups():
-    number, one, other = X.twins(["the women said", "no term"] * 50)
-    assert {"women"} == {w for n, w in zip(number, one, strict=True) if n % 2 == 0}
-    swapped = {w for n, w in zip(number, other, strict=True) if n % 2 == 0}
-    assert "" in swapped and swapped - {""} <= set(X.IDENTITY[0]) - {"women"}
+    number, one, other = X.twins([X.terms_of(t) for t in ["the women said", "no term"] * 50], [0, 1] * 50)
+    assert {("women",)} == {tuple(w) for n, w in zip(number, one, strict=True) if n % 2 == 0}
+    swapped = {w for n, ws in zip(number, other, strict=True) if n % 2 == 0 for w in ws}
+    assert swapped and swapped <= set(X.IDENTITY[0]) - {"women"} and [] in other
+    added = {n for n in number if n % 2}
+    assert 5 <= len(added) <= 30 and all(len(w) == 1 for n, w in zip(number, one, strict=True) if n % 2)
+
+
+def test_features_counted_by_spark_give_the_same_model(spark):
+    texts, labels = corpus(8, 500, biased=True)
+    order = sorted(range(500), key=lambda i: i)
+    held = {r.i for r in spark.range(500).withColumnRenamed("id", "i").where(X.held_out("i")).collect()}
+    mine = [i for i in order if i not in held]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = X.train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    want = X.fit([texts[i] for i in mine], [labels[i] for i in mine], sum(labels[i] for i in mine) / len(mine))
+    a, b = scores(found, texts), scores(want, texts)
+    assert np.abs(a - b).max() < 0.02
 
 
 def test_columns(spark):
