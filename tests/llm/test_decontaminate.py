@@ -28,8 +28,8 @@ def brute(text, items):
     return len(doc), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(doc)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
-def test_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_matches_brute_force(spark, broadcast_bytes):
     rnd = random.Random(4)
     vocab = ["a", "B", "c1", "été", "dog", "x"]
     text = lambda n: rnd.choice([" ", ", ", "\n"]).join(rnd.choice(vocab) for _ in range(n))
@@ -37,7 +37,7 @@ def test_matches_brute_force(spark, block_bytes):
     docs = [text(rnd.randint(0, 60)) for _ in range(60)] + [text(5) + " " + (rnd.choice(items)[1] or "") + " " + text(9) for _ in range(30)] + [None, "", "...", "a " * 3000]
     df = spark.createDataFrame([(i, d, 9, "kept") for i, d in enumerate(docs)] + [(0, docs[0], 9, "kept")], "doc_id long, text string, N_HIT int, item_id string").repartition(3)
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = D.decontaminate(df, bench, block_bytes=block_bytes)
+    got = D.decontaminate(df, bench, broadcast_bytes=broadcast_bytes)
     assert "item_id" in got.columns and got.columns.count("n_hit") == 1
     rows = got.collect()
     assert len(rows) == len(docs) + 1
@@ -66,3 +66,25 @@ def test_stage_keeps_clean_rows(spark, tmp_path):
     kept = D.clean_stage(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, None}
     assert kept.where(F.col("doc_id") == 1).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_equal_hashes_of_different_words_are_no_hit(spark, broadcast_bytes):
+    """Words of two letters whose polynomial hashes modulo 2**64 are equal, alone, in windows, and both in the benchmark."""
+    one, other = thue_morse(2048), thue_morse(2048, "b", "a")
+    import numpy as np
+
+    w = D.Words(np.frombuffer(f"{one} {other}".encode(), np.uint8), np.array([0, 4097]))
+    assert w.hashes[0] == w.hashes[1] and w.word(0) != w.word(1)
+    line = " ".join(f"w{i}" for i in range(6))
+    texts = [one, other, f"{line} {one} {line} {line}", f"{line} {other} {line} {line}", f"x {one} y {other} z"]
+    items = [("1", other), ("2", f"{line} {other} {line}"), ("3", f"{line} {one} {line}"), ("4", f"q {one}")]
+    for some in (items[:1], items[:2], items):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = D.decontaminate(df, spark.createDataFrame(some, "item_id string, text string"), broadcast_bytes=broadcast_bytes)
+        for r in got.collect():
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(texts[r.doc_id], some)
