@@ -4,7 +4,9 @@ Language: `{{ expr }}`, `{% for x in expr %}`, `{% if %}/{% elif %}/{% else %}`,
 `{% generation %}` ... `{% endgeneration %}`, whose output is marked for the loss. Expressions have strings, integers,
 true/false/none, names, `a.b`, `a["b"]`, `+ - * %`, comparisons, `in`, `and/or/not`, `x if c else y` and filters
 (`FILTERS`). There are no calls and no attribute access: `.` and `[]` only look keys up in dictionaries and lists, so a
-template reaches nothing but what it is given. `loop.index`, `loop.first`, `loop.last` exist within loops.
+template reaches nothing but what it is given. `loop.index`, `loop.first`, `loop.last` exist within loops. `%` is for
+numbers only; what `+` and `*` make may be `MOST` characters, items or bits long; whatever else goes wrong, in compiling or
+rendering, is a TemplateError.
 
 The source is parsed into a syntax tree, constants are folded (operators and filters of constants, branches and text next
 to text), and the tree becomes nested Python closures that write strings and note where generated stretches lie.
@@ -22,6 +24,7 @@ import hashlib
 import operator
 import re
 from collections.abc import Callable
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -65,7 +68,46 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
 
 
 class TemplateError(ValueError):
-    pass
+    """What is wrong with a template, or with the values it was given."""
+
+
+#: Characters of a string, items of a list or bits of a number that an operator may make.
+MOST = 1 << 20
+
+
+def _size(x: Any) -> int:
+    return x.bit_length() if isinstance(x, int) else len(x)
+
+
+def _add(a: Any, b: Any) -> Any:
+    if isinstance(a, (str, list)) and len(a) + len(b) > MOST:
+        raise TemplateError("the result of + is too long")
+    return a + b
+
+
+def _times(a: Any, b: Any) -> Any:
+    if isinstance(a, int) and isinstance(b, int):
+        if _size(a) + _size(b) > MOST:
+            raise TemplateError("the result of * is too large")
+    elif _size(a if isinstance(b, int) else b) * max(b if isinstance(b, int) else a, 0) > MOST:
+        raise TemplateError("the result of * is too long")
+    return a * b
+
+
+def _modulo(a: Any, b: Any) -> Any:
+    if not isinstance(a, int):
+        raise TemplateError("% is for numbers")
+    return a % b
+
+
+@contextmanager
+def _as_template_error():
+    try:
+        yield
+    except TemplateError:
+        raise
+    except (TypeError, ValueError, ArithmeticError, AttributeError, LookupError, RecursionError) as e:
+        raise TemplateError(f"{type(e).__name__}: {e}") from e
 
 
 # Parsing: trees of tuples -------------------------------------------------------------------------
@@ -74,7 +116,7 @@ _PIECE = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
 _LEXEME = re.compile(r"\s*(?:(\d+)|(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+*%<>()\[\].|,=]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "in": lambda a, b: a in b}
-_ARITH = {"+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod}
+_ARITH = {"+": _add, "-": operator.sub, "*": _times, "%": _modulo}
 
 
 class _Expression:
@@ -424,11 +466,13 @@ def _closure(nodes: list[tuple]) -> Callable[[dict, _Output], None]:
 
 def compile_template(source: str) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
     """A function of the template's variables that gives the text and the generated stretches in it."""
-    body = _closure(fold_block(parse(source)))
+    with _as_template_error():
+        body = _closure(fold_block(parse(source)))
 
     def render(**variables) -> tuple[str, list[tuple[int, int]]]:
         out = _Output()
-        body(variables, out)
+        with _as_template_error():
+            body(variables, out)
         return "".join(out.parts), out.marks
 
     return render

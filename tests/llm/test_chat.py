@@ -32,6 +32,20 @@ def test_errors(bad):
         K.compile_template(bad)
 
 
+@pytest.mark.parametrize("bad", ["{{ 'a' * 99999999999 }}", "{{ 99999999999 * 'a' }}", "{{ '%20000000d' % 1 }}", "{{ 1 % 0 }}", "{{ 1 + 'a' }}", "{{ 5 | length }}", "{{ " + "(" * 9000 + "1" + ")" * 9000 + " }}", "{{ " + "9" * 5000 + " }}", "{{ none < 1 }}", "{{ 1 in 2 }}"])
+def test_what_goes_wrong_in_constants_is_a_template_error(bad):
+    with pytest.raises(K.TemplateError):
+        K.compile_template(bad)
+
+
+@pytest.mark.parametrize("bad,values", [("{{ a * n }}", {"a": "x", "n": 1 << 40}), ("{{ a % 1 }}", {"a": "%9999999d"}), ("{% for x in a %}{% endfor %}", {"a": 5}), ("{{ a + b }}", {"a": 1, "b": "x"}), ("{{ a * a * a }}", {"a": 1 << 600_000}), ("{{ a + a }}", {"a": "x" * 600_000})])
+def test_what_goes_wrong_in_rendering_is_a_template_error(bad, values):
+    render = K.compile_template(bad)
+    with pytest.raises(K.TemplateError):
+        render(**values)
+    assert K.compile_template("{{ 'ab' * 3 }}{{ 3 * 'c' }}{{ 7 % 4 }}{{ 6 * 7 }}{{ 'x' * -1 }}")()[0] == "abababccc342"
+
+
 def test_sandbox_reaches_no_attributes():
     assert run("{{ x.__class__ }}{{ x.upper }}", x="s")[0] == ""
 
