@@ -5,13 +5,13 @@ refer to it. A block longer than `SEGMENT_BYTES` is cut into a first record and
 puts into the archive after; payloads are in chunked transfer framing where they are long. An archive is one row (name,
 data) of a table in shared storage, each record its own gzip member if asked for.
 
-Reading: records are parsed wherever they lie. Whole records are done at once; pieces are grouped by the id of the record
-they began with, ordered by segment number and checked against the stated total length; then the HTTP head is cut off,
-chunked framing is decoded and the payload's digest compared.
+Reading: one scan parses records wherever they lie. Whole records are done at once; pieces are dealt by the id of the
+record they began with, ordered by segment number and checked against the stated total length; then the HTTP head is cut
+off, chunked framing is decoded and the payload's digest compared.
 
 Defined cases: null payloads and addresses are empty; rows that repeat id and payload give one response and revisits of
 it; damaged records, missing or repeated segments and wrong totals give a row with status other than "ok" and null
-payload; an empty table gives no archive and no record.
+payload, and reading goes on at the next record; an empty table gives no archive and no record.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,29 +97,54 @@ def page_records(page_id, url: str, payload: bytes, refers_to, is_revisit: bool,
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of every record, gzip members or plain; ValueError where it is damaged."""
+    for headers, block in scan(data):
+        if block is None:
+            raise ValueError("damaged record")
+        yield headers, block
+
+
+_NEXT = re.compile(rb"WARC/\d|\x1f\x8b\x08")
+
+
+def scan(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Like parse, but a damaged record is (the headers it still has, None), and reading goes on at the next beginning of one."""
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\x1f\x8b":
             unzip = zlib.decompressobj(31)
             try:
                 member = unzip.decompress(data[at:])
-            except zlib.error as e:
-                raise ValueError("damaged member") from e
+                if not unzip.eof:
+                    raise zlib.error("cut off")
+            except zlib.error:
+                yield {}, None
+                at = _next(data, at)
+                continue
             at = len(data) - len(unzip.unused_data)
-            yield from parse(member)
+            yield from scan(member)
             continue
         end = data.find(b"\r\n\r\n", at)
         lines = data[at:end].decode("utf-8", "replace").split("\r\n") if end >= 0 else [""]
         if not lines[0].startswith("WARC/"):
-            raise ValueError("no WARC record")
+            yield {}, None
+            at = _next(data, at)
+            continue
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers.get("content-length", -1))
+        size = headers.get("content-length", "")
+        size = int(size) if size.isascii() and size.isdigit() and len(size) < 19 else -1
         if size < 0 or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError("damaged record")
+            yield headers, None
+            at = _next(data, at)
+            continue
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 8 + size
 
 
+def _next(data: bytes, at: int) -> int:
+    found = _NEXT.search(data, at + 1)
+    return found.start() if found else len(data)
+
+
 def page_of(urn: str | None) -> int | None:
     m = re.match(r"<urn:page:(-?\d+):", urn or "")
     return int(m[1]) if m else None
@@ -138,6 +164,10 @@ _DONE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_byte
 _DONE_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, status string"
 
 
+def _number(x: str | None) -> int | None:
+    return int(x) if x and x.isascii() and x.isdigit() and len(x) < 10 else None
+
+
 def finish(headers: dict[str, str], block: bytes | None, payload_too: bool, status: str = "ok") -> tuple:
     """The result row of a record whose block is whole (None: it could not be put together)."""
     kind, digest = headers.get("warc-type"), headers.get("warc-payload-digest", "").partition(":")[2]
@@ -224,45 +254,75 @@ def write_archives(rows: DataFrame, compress: bool = False, segment: int = SEGME
     return C.write_table(rows.mapInArrow(run, "name string, data binary"), "warc")
 
 
-def _records(whole: bool, payload: bool):
+_PIECE = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("headers", pa.list_(pa.string())), ("block", pa.binary())])
+_READ = pa.schema([*_PIECE, *_DONE])
+_READ_DDL = f"origin string, segment int, total long, headers array<string>, block binary, {_DONE_DDL}"
+
+
+def _records(payload: bool):
+    """Whole records as they are returned, pieces of records as they are."""
+
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
                 out = []
-                for headers, block in parse(data.as_py()):
-                    segment = headers.get("warc-segment-number")
-                    if headers.get("warc-type") not in ("response", "revisit", "continuation") or (segment is None) != whole:
+                for headers, block in scan(data.as_py() or b""):
+                    kind, segment = headers.get("warc-type"), headers.get("warc-segment-number")
+                    if block is None or (segment is not None and _number(segment) is None):
+                        out.append((None,) * 5 + finish(headers, None, payload, "damaged"))
+                    elif kind not in ("response", "revisit", "continuation"):
                         continue
-                    if whole:
-                        out.append(finish(headers, block, payload))
+                    elif segment is None:
+                        out.append((None,) * 5 + finish(headers, block, payload))
                     else:
-                        origin = headers.get("warc-segment-origin-id") or headers.get("warc-record-id")
-                        total = headers.get("warc-segment-total-length")
-                        out.append((origin, int(segment), int(total) if total else None, [x for kv in headers.items() for x in kv] if segment == "1" else None, block))
+                        origin = headers.get("warc-segment-origin-id") or headers.get("warc-record-id") or ""
+                        flat = [x for kv in headers.items() for x in kv] if _number(segment) == 1 else None
+                        out.append((origin, _number(segment), _number(headers.get("warc-segment-total-length")), flat, block) + (None,) * len(_DONE))
                 if out:
-                    schema = _DONE if whole else _PIECE
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_READ)], schema=_READ)
 
     return run
 
 
-_PIECE = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("headers", pa.list_(pa.string())), ("block", pa.binary())])
+def _join(payload: bool):
+    """Rows that come sorted by origin: whole records pass, pieces are put together."""
+
+    def done(pieces: list[dict]) -> tuple:
+        block, status = reassemble([(r["segment"], r["total"], r["block"]) for r in pieces])
+        flat = next((r["headers"] for r in pieces if r["headers"]), None) or ["warc-record-id", pieces[0]["origin"]]
+        return finish(dict(zip(flat[::2], flat[1::2], strict=True)), block, payload, status)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_DONE)], schema=_DONE)
+
+    def run(batches):
+        now: list[dict] = []
+        for batch in batches:
+            piece = batch.column(0).is_valid()
+            whole = batch.filter(pc.invert(piece)).select(_DONE.names)
+            if whole.num_rows:
+                yield whole.cast(_DONE)
+            out = []
+            for r in batch.filter(piece).select(_PIECE.names).to_pylist():
+                if now and r["origin"] != now[0]["origin"]:
+                    out.append(done(now))
+                    now = []
+                now.append(r)
+            if out:
+                yield table(out)
+        if now:
+            yield table([done(now)])
+
+    return run
 
 
 def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, status of every record; a damaged archive fails."""
-    data = archives.select("data")
-    done = data.mapInArrow(_records(True, payload), _DONE_DDL)
-    pieces = data.mapInArrow(_records(False, payload), "origin string, segment int, total long, headers array<string>, block binary")
-
-    def join(rows: pa.Table) -> pa.Table:
-        found = rows.to_pylist()
-        block, status = reassemble([(r["segment"], r["total"], r["block"]) for r in found])
-        flat = next((r["headers"] for r in found if r["headers"]), None) or ["warc-record-id", found[0]["origin"]]
-        row = finish(dict(zip(flat[::2], flat[1::2], strict=True)), block, payload, status)
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, _DONE, strict=True)], schema=_DONE)
-
-    return done.unionByName(pieces.groupBy("origin").applyInArrow(join, _DONE_DDL))
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, status of every record."""
+    found = archives.select("data").mapInArrow(_records(payload), _READ_DDL)
+    # whole records go anywhere; the pieces of one record meet in one task and follow each other there
+    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartition(parts, F.coalesce(F.when(F.col("origin").isNotNull(), F.xxhash64("origin")), F.xxhash64("page_id", "url", "payload_digest")))
+    return dealt.sortWithinPartitions("origin", "segment").mapInArrow(_join(payload), _DONE_DDL)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -68,3 +68,25 @@ def test_pages(spark, compress, archive):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert W.read_archives(W.write_archives(W.assign_revisits(df))).count() == 0
+
+
+def test_damaged_records_are_rows_and_the_others_are_read(spark):
+    good = [b"".join(W.page_records(i, f"u{i}", bytes([65 + i]) * n, None, False)) for i, n in enumerate([10, 2000, 30_000, 50])]
+    long = W.page_records(7, "u7", b"q" * 9000, None, False)
+    wrong = good[0].replace(b"AAAAA", b"AAxAA")  # digest
+    cut = good[1][: len(good[1]) // 2]
+    archives = [
+        good[0] + cut + good[3],
+        b"no record at all" + good[2],
+        b"".join(map(gzip.compress, [good[0]])) + gzip.compress(good[1])[:60] + gzip.compress(good[3]),
+        wrong + long[0] + long[2],
+        good[3].replace(b"Content-Length: ", b"Content-Length: x", 1),
+        None,
+    ]
+    df = spark.createDataFrame([(f"a{i}", None if x is None else bytearray(x)) for i, x in enumerate(archives)], "name string, data binary")
+    got = W.read_archives(df).collect()
+    ok = sorted(r.page_id for r in got if r.status == "ok")
+    assert ok == [0, 0, 2, 3, 3]
+    bad = sorted((r.status, -1 if r.page_id is None else r.page_id) for r in got if r.status != "ok")
+    assert bad == [("damaged", -1), ("damaged", -1), ("damaged", 1), ("damaged", 3), ("digest differs", 0), ("segments missing", 7)]
+    assert all(r.payload is None and r.payload_bytes is None for r in got if r.status != "ok")
