@@ -6,8 +6,10 @@ File, little-endian: magic "SFTOK1\\0\\0", width of an id in bytes (u4), low bit
 u8 files beyond 2^32 bits). With log2(m / n) + 2 bits a bound this is near the least space; a bound is found by one
 sample, a few popcounts and one low field, without a table of 64-bit offsets.
 
-Documents are tokenized where they are read, dealt to shards by ranges of their id, and every shard is one file, a row of
-a table in shared storage. `start` is the ids of earlier shards (one number a shard) plus the bound within the shard.
+Documents are tokenized where they are read and dealt to shards by ranges of their id. The ranges come from a sketch of the
+ids with at most `MOST_SHARDS` bounds, whatever the size of the input. A shard is sorted in its task and cut into files of
+about `FILE_BYTES` while it streams by; a file is a row of a table in shared storage, with its place in the shard. `start`
+is the ids of earlier shards (one number a shard), those of earlier files in the shard, and the bound within the file.
 
 Defined cases: null is an empty text, its only id is the end id; order is by id (nulls first), equal ids by their tokens,
 so reruns agree; an empty table gives an empty table.
@@ -35,7 +37,10 @@ from . import common as C
 MAGIC = b"SFTOK1\0\0"
 END_ID = 1
 SELECT = 256
+#: Text of a shard, unless there are more than MOST_SHARDS of them, and ids of a file.
 SHARD_BYTES = 16 << 20
+FILE_BYTES = 16 << 20
+MOST_SHARDS = 1 << 15
 #: Text that is encoded at once.
 TEXT_BYTES = 4 << 20
 #: Distinct words whose ids a worker remembers.
@@ -229,61 +234,67 @@ def tokenize(docs: DataFrame, path: str, doc_id: str, text: str, bounds: list, d
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _pack(dtype):
-    """Files from rows that come sorted by shard, id and ids."""
+def _pack(dtype, file_bytes: int):
+    """Files from rows that come sorted by shard, id and ids; a file ends with its shard or once it has file_bytes of ids."""
 
     def run(batches):
-        shard, ids, counts, keys = None, [], [], []
+        shard, part, before, size, ids, counts, keys = None, 0, 0, 0, [], [], []
 
         def done():
             bounds = np.concatenate([[0], np.cumsum(counts)])
             data = write_file(np.frombuffer(b"".join(ids), dtype), bounds)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(bounds[-1])]), pa.array([keys]), pa.array([data], pa.large_binary()).cast(pa.binary())], names=["shard", "n_ids", "doc_ids", "file"])
+            cols = [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([before]), pa.array([int(bounds[-1])]), pa.array([keys]), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["shard", "part", "before", "n_ids", "doc_ids", "file"])
 
         for batch in batches:
             for s, k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if s != shard:
-                    if shard is not None:
+                if s != shard or size >= file_bytes:
+                    if counts:
                         yield done()
-                    shard, ids, counts, keys = s, [], [], []
+                    part, before = (part + 1, before + sum(counts)) if s == shard else (0, 0)
+                    shard, size, ids, counts, keys = s, 0, [], [], []
                 ids.append(x)
+                size += len(x)
                 counts.append(len(x) // dtype().itemsize)
                 keys.append(k)
-        if shard is not None:
+        if counts:
             yield done()
 
     return run
 
 
-def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """A table in shared storage: shard, n_ids, doc_ids and file, for integer ids."""
+def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, most_shards: int = MOST_SHARDS) -> DataFrame:
+    """A table in shared storage: shard, part, before (ids of earlier parts of the shard), n_ids, doc_ids and file, for integer ids."""
     vocabulary = _tokenizer(path)[0].get_vocab_size()
     dtype = np.uint16 if vocabulary <= 1 << 16 else np.uint32
-    shards = max(1, math.ceil(C.input_bytes(docs, text) / shard_bytes))
+    shards = min(max(1, math.ceil(C.input_bytes(docs, text) / shard_bytes)), most_shards)
     # bounds by ids alone: one small scan instead of tokenizing twice for a range partitioning
     bounds = sorted(set(docs.approxQuantile(doc_id, [i / shards for i in range(1, shards)], 0.1 / shards))) if shards > 1 else []
     bounds = [int(b) for b in bounds]
     rows = tokenize(docs, path, doc_id, text, bounds, dtype)
-    parts = max(1, min(len(bounds) + 1, 100_000))
-    sorted_rows = rows.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
-    return C.write_table(sorted_rows.mapInArrow(_pack(dtype), f"shard int, n_ids long, doc_ids array<{docs.schema[doc_id].dataType.simpleString()}>, file binary"), "tokens")
+    sorted_rows = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return C.write_table(sorted_rows.mapInArrow(_pack(dtype, file_bytes), f"shard int, part int, before long, n_ids long, doc_ids array<{kind}>, file binary"), "tokens")
 
 
 def read_shards(files: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Per document: start (ids of all before it), n_tokens and ids_crc32, from the files."""
-    before = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # one number a shard
-    base = dict(zip([r["shard"] for r in before], np.concatenate([[0], np.cumsum([r["n"] for r in before])]).tolist(), strict=False))
+    totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").toArrow()  # one number a shard, MOST_SHARDS at most
+    shards, n = (np.asarray(totals[c].combine_chunks()).astype(np.int64) for c in ("shard", "n"))
+    base = files.sparkSession.sparkContext.broadcast((shards, np.cumsum(n) - n))
     kind = files.schema["doc_ids"].dataType.elementType
 
     def run(batches):
+        known, first = base.value
         for batch in batches:
-            for shard, keys, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for shard, before, keys, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 ids, bounds = read_file(data.as_buffer())
                 at = bounds.all().astype(np.int64)
+                start = at[:-1] + int(first[np.searchsorted(known, shard)]) + before
                 crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array(at[:-1] + base[shard]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=[doc_id, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(start), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=[doc_id, "start", "n_tokens", "ids_crc32"])
 
-    return files.select("shard", "doc_ids", "file").mapInArrow(run, f"`{doc_id}` {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return files.select("shard", "before", "doc_ids", "file").mapInArrow(run, f"`{doc_id}` {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def _path() -> str:

@@ -45,15 +45,16 @@ def test_words_encode_as_whole_texts(monkeypatch):
             assert [np.frombuffer(x, np.uint16).tolist() for x in encode(texts)] == ids
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 24, 40])
-def test_files(spark, shard_bytes):
+@pytest.mark.parametrize("shard_bytes,file_bytes,most_shards", [(1 << 24, 1 << 24, 1 << 15), (40, 1 << 24, 1 << 15), (1 << 24, 30, 1 << 15), (40, 30, 3)])
+def test_files(spark, shard_bytes, file_bytes, most_shards):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
     rows = [(i * 3 % 17, t) for i, t in enumerate(ODD)] + [(5, None), (5, None), (None, "null id"), (2, "twice"), (2, "twice")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string").repartition(3)
-    files = K.write_shards(df, PATH, shard_bytes=shard_bytes)
-    assert shard_bytes > 100 or files.count() > 1
+    files = K.write_shards(df, PATH, shard_bytes=shard_bytes, file_bytes=file_bytes, most_shards=most_shards)
+    assert min(shard_bytes, file_bytes) > 100 or files.count() > 1
+    assert files.select("shard").distinct().count() <= most_shards
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in K.read_shards(files).collect()))
     assert [g[1] for g in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
     start = 0
