@@ -200,15 +200,20 @@ def links(nodes: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
     masks = block_masks(blocks_for(n))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tables = F.array(*[F.xxhash64(F.lit(i), F.col("p").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    keyed = nodes.select("p", F.explode(tables).alias("key"))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(masks) // ROWS_A_TASK)
+    return deal(nodes.select("p", F.explode(tables).alias("key")), parts, chunk).mapInArrow(_compare, "u long, v long")
+
+
+def deal(keyed: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
+    """keyed (key and more) with cell for key, its rows dealt out by cell: a key with over `chunk` rows has a cell for every pair of its chunks."""
+    rest = [c for c in keyed.columns if c != "key"]
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     hot = hot.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     # a chunk meets every chunk of its key: cell (i, j) holds both of them
-    own = F.pmod(F.xxhash64("p", F.lit("chunk")), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64(*rest, F.lit("chunk")), F.col("chunks")).cast("int")
     dealt = keyed.join(hot, "key", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks") - 1, F.lit(0)))))
     cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(masks) // ROWS_A_TASK)
-    return dealt.select(cell.alias("cell"), "p").repartition(parts, "cell").mapInArrow(_compare, "u long, v long")
+    return dealt.select(cell.alias("cell"), *rest).repartition(parts, "cell")
 
 
 def groups(prints: DataFrame, id_col: str) -> DataFrame:
@@ -237,31 +242,26 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each group the row with the least id.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fingerprints=add_fingerprint, grouping=groups) -> DataFrame:
+    """Of each group the row with the least id; the groups of near_duplicates unless others are given.
 
     Rows whose id occurs once go by id alone, so their texts cross no shuffle unless the ids that go are too many to
     broadcast. Rows that share an id, or have none, are looked at by fingerprint: of those with their group's id one stays.
     """
-    prints = C.write_table(add_fingerprint(docs.select(id_col, text), text).select(F.col(id_col).alias("_id"), "_print"), "simhash")
-    ids = C.write_table(groups(prints, "_id"), "simhash-groups")
+    prints = C.write_table(fingerprints(docs.select(id_col, text), text).select(F.col(id_col).alias("_id"), "_print"), "simhash")
+    ids = C.write_table(grouping(prints, "_id"), "simhash-groups")
     one = prints.groupBy("_id").agg(F.count("*").alias("n"), F.first("_print").alias("_print")).join(ids, "_print")
     shared = F.col("_id").isNull() | (F.col("n") > 1)
     gone = C.write_table(one.where(shared | (F.col("_id") != F.col("component_id"))).select("_id", shared.alias("_shared")), "simhash-gone")
     stay = docs.join(gone.where(F.col("_id").isNotNull()).select("_id"), docs[id_col] == F.col("_id"), "left_anti").where(F.col(id_col).isNotNull())
     odd = docs.join(gone.where("_shared").select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    odd = add_fingerprint(odd, text).join(ids, "_print").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    odd = fingerprints(odd, text).join(ids, "_print").where(F.col(id_col).eqNullSafe(F.col("component_id")))
     odd = odd.groupBy("component_id", "_print").agg(F.min(F.struct(*docs.columns)).alias("d"))
     # rows without ids are one group's only where the whole group has none: then by fingerprint
-    key = F.when(F.col("component_id").isNull(), F.col("_print")).otherwise(F.lit(0).cast("long"))
+    key = F.when(F.col("component_id").isNull(), F.col("_print").cast("string"))
     odd = odd.groupBy("component_id", key).agg(F.min("d").alias("d")).select("d.*")
     return stay.select(*docs.columns).unionByName(odd)
 
 
-def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate group the document with the least id; of rows that repeat its id, one."""
-    return representatives(docs)
-
-
 QUERIES = {"op3_simhash": op3_simhash}
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanframe.llm import common as C
-from spanframe.llm import decontaminate, registry, simhash
+from spanframe.llm import decontaminate, registry, similar
 
 DATA = os.environ.get("SPANFRAME_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -49,7 +49,8 @@ def test_stages(spark):
         docs = C.write_table(stage(spark, docs, DATA), name)
         kept[name] = docs
         assert name == names[-1] or docs.columns == first
-    groups = simhash.near_duplicates(kept["simhash_near_dedup"])
+    prints = similar.add_fingerprint(kept["simhash_near_dedup"])
+    groups = prints.join(similar.groups(prints.select("doc_id", "_print"), "doc_id"), "_print")
     assert groups.where("doc_id <> component_id").count() == 0
     assert decontaminate.decontaminate(kept["benchmark_decontamination"], C.table(spark, DATA, "benchmark")).where("contaminated").count() == 0
     mixed = kept["source_mix"].count()
