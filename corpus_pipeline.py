@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanframe.llm import common, decontaminate, mixing, simhash, tokens, toxicity
+from spanframe.llm import common, decontaminate, mixing, similar, tokens, toxicity
 
 STAGES = [
     ("toxicity", toxicity.clean_stage),
-    ("simhash_near_dedup", simhash.dedup_stage),
+    ("simhash_near_dedup", similar.dedup_stage),
     ("benchmark_decontamination", decontaminate.clean_stage),
     ("source_mix", mixing.mix_stage),
     ("token_output", tokens.output_stage),
@@ -23,7 +23,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The rows of the last stage; what earlier ones have written is dropped as soon as the next one's result is."""
+    docs, first = common.table(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES:
         docs = common.write_table(stage(spark, docs, sf_dir), name)
+        common.drop_tables(spark, first, common.written() - 1)
     return docs
