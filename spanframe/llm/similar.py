@@ -98,11 +98,23 @@ def add_fingerprint(docs: DataFrame, text: str = "text", out: str = "_print") ->
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
     """BITS rows of words; bit i of word j in row b: bit b of fingerprint 64 j + i. One spare word at the end."""
-    n = -(-len(prints) // 64) * 64
-    bits = np.zeros((n, BITS), np.uint8)
-    bits[: len(prints)] = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
-    return np.concatenate([planes, np.zeros((BITS, 1), np.uint64)], axis=1)
+    blocks = -(-len(prints) // 64)
+    out = np.zeros((BITS, blocks + 1), np.uint64)
+    for w in range(_WORDS):
+        square = np.zeros(blocks * 64, np.uint64)
+        square[: len(prints)] = prints[:, w]
+        step, mask = 32, 0xFFFFFFFF
+        while step:  # each block of 64 rows of 64 bits is turned by swapping quarters, quarters of quarters and so on
+            part = square.reshape(-1, 2, step)
+            low, high = part[:, 0], part[:, 1]
+            swap = ((low >> np.uint64(step)) ^ high) & np.uint64(mask)
+            low ^= swap << np.uint64(step)
+            high ^= swap
+            step >>= 1
+            mask ^= mask << step if step else 0
+            mask &= 0xFFFFFFFFFFFFFFFF
+        out[64 * w : 64 * w + 64, :blocks] = square.reshape(blocks, 64).T
+    return out
 
 
 def close_at_lag(planes: np.ndarray, same: np.ndarray, lag: int, most: int) -> np.ndarray:
