@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.text import cut, invert_map, label_to_tag, let
 from ..schema import SPAN, SPANS
+from .annotations import format_annotations
 
 TAG = r"<(/?)([a-zA-Z_][a-zA-Z0-9_-]*)>"
 
@@ -169,6 +170,14 @@ def rebuild(text: Column | str, spans: Column | str | None = None, entities: Col
     return let(F.array_sort(F.concat(items(spans, 0), items(entities, 1))), report)
 
 
+def rebuild_from_task(task: Column | str, label_to_tag_map: Column | dict[str, str] | None = None) -> Column:
+    """The tagged text of an annotation task: rebuild of its data.text with the segmentation and entities of its results."""
+    task = task if isinstance(task, Column) else F.col(task)
+    found = format_annotations(task)
+    spans = lambda name: F.transform(found[name], lambda v: F.struct(v["start"], v["end"], v["text"], v["labels"])).cast(SPANS)
+    return rebuild(F.coalesce(task["data"]["text"], F.lit("")), spans("segmentation"), spans("entities"), label_to_tag_map)["tagged_text"]
+
+
 def update_with_rebuilt(df: DataFrame, text: str = "original_text", task: str = "task", spans: str = "spans", entities: str = "entities", span_map: Column | None = None, ner_map: Column | None = None, overwrite: bool = True) -> DataFrame:
     """df whose task.data has the rebuilt text as tagged_text (or tagged_text_unified), the former one as
     tagged_text_original unless there is one, and rebuild_stats. Maps go from tag to label; where both give a label the

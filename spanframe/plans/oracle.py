@@ -139,6 +139,7 @@ ORACLES = {
     + f"""select p.page_id, count(tag) filter (not {_IS_ENTITY})::int as segments, coalesce(array_to_string(list_sort(list_distinct(list({_case(LABELS)}) filter (not {_IS_ENTITY}))), '|'), '') as labels_present,
        'web' as classification, 'Web Page' as label, count(tag) filter ({_IS_ENTITY})::int as n_entities from pages_read p left join spans using (page_id) group by p.page_id""",
     "rebuild_nested": _rebuild({"Whole Part": "whole_part", "Crossing!": "crossing", "Name": "person", "Twin": "twin"}, "doc_id, md5(tagged) as tagged_md5, n::int as total, (n - kept)::int as skipped_crossing"),
+    "rebuild_task": _rebuild({"Whole Part": "whole_part", "Crossing!": "crossing", "Name": "person", "Twin": "twin"}, "doc_id, md5(tagged) as tagged_md5"),
     "rebuild_update": _rebuild({"Whole Part": "whole", "Crossing!": "crossing", "Name": "person", "Twin": "twin"}, "doc_id, md5(tagged) as tagged_md5, 'old' as original, n::int as total"),
     "sanitize_spans": f"""
 with a as (select doc_id, text, greatest(least(doc_id % 50 - 3, length(text)), 0) as a from documents),
@@ -219,5 +220,16 @@ select g, greatest(0, lo - greatest(3, floor((hi - lo + 1) * 0.3)))::int as lo,
 select s.doc_id, span_id, count(*) as n, min(idx)::int as first, max(idx)::int as last from s join o on s.doc_id = o.doc_id and greatest(a, start) < least(b, start + o.n) group by s.doc_id, span_id""",
     "span_tokens": f"""{_CELLS}, s as (select g, k::int as span_id, k * 4 as a, k * 4 + 18 as b from e where k < 10), m as (select s.g, span_id, j as idx from s join mutual m on s.g = m.g and greatest(a, i * 5) < least(b, i * 5 + 4)),
 {_clusters("m", "g, span_id", 1)} select g, span_id, lo, hi, n from filled qualify row_number() over (partition by g, span_id order by n desc, lo) = 1""",
+    "embed_pieces": f"""
+with t as (select item_id, regexp_extract_all(text, '{_TOKEN}') as t from benchmark), p as (select item_id, t, list_transform(t, lambda x: (length(x) + 2) // 3) as p from t)
+select item_id, len(t)::int as n, list_sum(p)::int as n_pieces, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * (i - 1)))::bigint as words, list_sum(list_transform(t, lambda x: length(x)))::double as letters,
+       case when len(p) > 2 then list_sum(p[1:2])::int else 0 end as first, list_sum(p[1:5])::int as last from p""",
+    "align_mwmf": _CELLS.replace("with e as", "with recursive e as") + """
+, r as (
+  select distinct g, 0 as i, 0 as used, 0.0::double as w from cells
+  union all
+  select g, i, used, max(w) as w from (select r.g, r.i + 1 as i, r.used | (1 << c.j::int) as used, r.w + c.sim as w from r join cells c on c.g = r.g and c.i = r.i and (r.used & (1 << c.j::int)) = 0) group by g, i, used
+)
+select g, 10::bigint as n, round(max(w), 6) as weight from r where i = 10 group by g""",
     "embed_texts": f"with t as (select item_id, regexp_extract_all(text, '{_TOKEN}') as t from benchmark) select item_id, len(t)::int as n, 37 as dim, list_sum(list_transform(t, lambda x: length(x)))::double as letters from t",
 }

@@ -10,7 +10,7 @@ from ..functions.projection import Config
 from ..operators import annotations, clusters, mapping, project, similarity, tags
 from ..schema import SPANS
 from ..sources import tables
-from ..sources.providers import LetterCounts
+from ..sources.providers import LetterCounts, LetterPieces
 
 LABELS = {"p": "Paragraph", "li": "Item", "h1": "Title"}
 ENTITIES = {"b": "Bold", "title": "Page Title"}
@@ -87,6 +87,17 @@ def rebuild_update(spark, d):
     return done.select("doc_id", F.md5(data["tagged_text"]).alias("tagged_md5"), data["tagged_text_original"].alias("original"), data["rebuild_stats"]["total"].alias("total"))
 
 
+def rebuild_task(spark, d):
+    """The annotations of rebuild_nested in tasks: even documents have them as annotations, the others as predictions only."""
+    made = _made_spans(_docs(spark, d))
+    result = lambda c, name: F.transform(c, lambda s: F.struct(F.lit("labels").alias("type"), F.lit(name).alias("from_name"), F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["labels"].alias("labels"), F.array().cast("array<string>").alias("choices")).alias("value")))
+    results = F.array(F.struct(F.concat(result("spans", "segmentation"), result("entities", "entities")).alias("result")))
+    none = F.slice(results, 1, 0)
+    given = F.when(F.col("doc_id") % 2 == 0, results).otherwise(none)
+    task = F.struct(F.struct("text").alias("data"), given.alias("annotations"), results.alias("predictions"))
+    return made.withColumn("task", task).select("doc_id", F.md5(tags.rebuild_from_task("task", {"Name": "person"})).alias("tagged_md5"))
+
+
 def sanitize_spans(spark, d):
     i = F.col("doc_id").cast("int")
     s = X.sanitize_span("text", i % 50 - 3, i % 50 + i % 9 - 2)
@@ -411,6 +422,14 @@ def embed_texts(spark, d):
     return t.select("item_id", F.size("tokens").alias("n"), F.size(F.col("vectors")[0]).alias("dim"), F.aggregate("vectors", F.lit(0.0), lambda s, v: s + F.aggregate(v, F.lit(0.0), lambda q, x: q + x)).alias("letters"))
 
 
+def embed_pieces(spark, d):
+    """Subwords: what is embedded, the word of each, and which subwords the words 2 to 4 have."""
+    t = tables.embed(tables.table(spark, d, "benchmark"), LetterPieces())
+    part = tables.subword_range(F.col("word_idx"), F.lit(2), F.lit(5))
+    letters = F.aggregate("vectors", F.lit(0.0), lambda s, v: s + F.aggregate(v, F.lit(0.0), lambda q, x: q + x))
+    return t.select("item_id", F.size("tokens").alias("n"), F.size("vectors").alias("n_pieces"), F.aggregate("word_idx", F.lit(0).cast("long"), lambda s, i: s + i).alias("words"), letters.alias("letters"), part["start"].alias("first"), part["end"].alias("last"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -418,6 +437,6 @@ QUERIES = {
         map_spans_regex, map_spans_fuzzy, map_spans_project, map_tags, label_to_tag, invert_map, merge_annotations, format_annotations, validate_projection, entropy, tokenize_offsets, tokenize_words,
         token_importance, similarity_cells, similarity_distort, align_mwmf, align_all, topk_candidates, pool_words, word_means, clusters_contiguous, clusters_filled, clusters_largest, clusters_merge,
         exact_match_filter, region_estimate, alignment_weights, covered_tokens, span_tokens, path_dp, sequence_dp, project_spans, project_sequence, project_single, project_long, project_tagged,
-        align_texts, align_words, render_alignment, embed_texts,
+        align_texts, align_words, render_alignment, embed_texts, embed_pieces, rebuild_task,
     )
 } | {f"align_{name}": _align(letter) for letter, name in (("f", "fwd"), ("r", "rev"), ("a", "inter"), ("t", "threshold"), ("i", "itermax"), ("g", "greedy"))}

@@ -68,6 +68,20 @@ class LetterCounts(EmbeddingProvider):
         return out
 
 
+class LetterPieces(LetterCounts):
+    """LetterCounts of pieces of words, `size` characters each: a model with subwords, exact in any engine."""
+
+    def __init__(self, size: int = 3):
+        self.size = size
+
+    def subwords(self, words: Sequence[str]) -> tuple[list[str], list[int]]:
+        pieces = [(w[i : i + self.size], n) for n, w in enumerate(words) for i in range(0, len(w), self.size)]
+        return [p for p, _ in pieces], [n for _, n in pieces]
+
+    def embed(self, words: Sequence[str]) -> np.ndarray:
+        return super().embed(self.subwords(words)[0])
+
+
 class _Crc(dict):
     """CRC-32 of strings, remembered."""
 
