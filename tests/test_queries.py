@@ -45,6 +45,14 @@ def test_query(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in order) for r in want.fetchall()), key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name,what", [("project_spans", "ArrowEvalPython ["), ("project_single", "ArrowEvalPython ["), ("project_long", "ArrowEvalPython ["), ("tag_parse", "regexp_extract_all("), ("tag_maps", "regexp_extract_all(")])
+def test_expensive_columns_are_computed_once(spark, name, what):
+    """No size(x) > 0 is inferred from an explode and pushed below the exchange."""
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(what) == 1
+
+
 def test_operators_run_on_a_stream(spark, tmp_path):
     rows = [("<a>The quick</a> fox", "The  quick fox", [(0, 9, "The quick", ["a"])])]
     spark.createDataFrame(rows, f"tagged_text string, original_text string, spans {SPANS}").write.parquet(str(tmp_path / "in"))
