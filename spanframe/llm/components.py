@@ -1,6 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is two aggregations and two joins on node ids; nothing is gathered on the driver but a count and a checksum.
+The edges are written once before the first round, which reads them several times: what made them, such as a comparison of
+fingerprints, would otherwise run again for each read. Every round is two aggregations and two joins on node ids; nothing is
+gathered on the driver but a count and a checksum.
 A hub with many neighbours is pre-aggregated before the shuffle, and its joins may be split by adaptive execution.
 """
 
@@ -30,12 +32,11 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v), root the least node of its component; nodes that are roots are left out."""
     seen, spark = None, edges.sparkSession
-    edges = edges.select("u", "v").where(F.col("u") != F.col("v")).distinct()
+    edges = write_table(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "links")
     while True:
         mark = written()
         edges = write_table(_star(_star(edges, False), True), "components")
-        if seen is not None:
-            drop_tables(spark, mark - 1, mark)  # the round before
+        drop_tables(spark, mark - 1, mark)  # the links, then the round before
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

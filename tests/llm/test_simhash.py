@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from spanframe.llm import simhash as S
+from spanframe.llm.components import components
 
 
 def slow(text):
@@ -102,3 +103,17 @@ def test_missing_and_shared_ids(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df).count() == 0 and S.representatives(df).count() == 0
+
+
+def test_links_are_made_once_for_all_rounds(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 5), (4, 4)], "u long, v long").mapInArrow(count, "u long, v long")
+    assert {tuple(r) for r in components(edges).collect()} == {(2, 1), (3, 1), (9, 5)}
+    assert rows.value == 4
+    assert components(edges.limit(0)).count() == 0
