@@ -95,6 +95,14 @@ def covered_tokens(spans: DataFrame, tokens: DataFrame, keys: list[str]) -> Data
     return t.where(F.greatest("_a", "start") < F.least("_b", "end")).drop("_a", "_b")
 
 
+def covered_within(texts: DataFrame, keys: list[str], spans: str = "spans", tokens: str = "tokens") -> DataFrame:
+    """covered_tokens for rows (keys, spans, tokens) that hold a text's spans and tokens as arrays: no token is shuffled."""
+    overlap = lambda s, t: F.greatest(s["start"], t["start"]) < F.least(s["end"], t["end"])
+    row = lambda s: lambda t: F.struct(s["span_id"].alias("span_id"), t["idx"].alias("idx"), t["start"].alias("start"), t["end"].alias("end"))
+    found = F.flatten(F.transform(spans, lambda s: F.transform(F.filter(tokens, lambda t: overlap(s, t)), row(s))))
+    return texts.select(*keys, F.explode_outer(found).alias("_x")).where("_x is not null").select(*keys, "_x.*")
+
+
 def alignment_weights(pairs: DataFrame, keys: list[str], src: DataFrame) -> DataFrame:
     """(keys, idx, weight): for each target token the greatest importance of a source token aligned with it."""
     w = src.select(*keys, "i", token_importance(F.col("text")).alias("_w"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TASK, TOKENS
 from .providers import EmbeddingProvider
 
+#: Characters of text whose tokens are made at once.
+PIECE_CHARS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,16 +37,37 @@ def write_tasks(df: DataFrame, path: str, task: str = "task") -> None:
     df.select(F.to_json(task).alias("value")).write.text(path)
 
 
+def token_arrays(texts: Iterator[pa.Array], cut, most: int = PIECE_CHARS) -> Iterator[pa.Array]:
+    """Arrays of tokens for batches of texts, each for at most `most` characters or a single text: tokens take over ten times the memory of their text."""
+    kind = pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("idx", pa.int32())])
+    for batch in texts:
+        bounds = np.cumsum(np.concatenate([[0], np.asarray(pc.fill_null(pc.utf8_length(batch), 0), np.int64)]))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
+            words, starts, ends, offsets, valid = [], [], [], [0], []
+            for t in batch.slice(i, j - i).to_pylist():
+                for w, a, b in cut(t) if t is not None else ():
+                    words.append(w)
+                    starts.append(a)
+                    ends.append(b)
+                offsets.append(len(words))
+                valid.append(t is not None)
+            idx = np.arange(len(words), dtype=np.int32) - np.repeat(np.array(offsets[:-1], np.int32), np.diff(offsets))
+            values = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(idx, pa.int32())], fields=list(kind))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([not v for v in valid]))
+            i = j
+
+
 def tokens(provider: EmbeddingProvider | None = None):
-    """Arrow-batched function from texts to arrays of tokens with offsets."""
+    """Arrow-batched function from texts to arrays of tokens with offsets, in batches bounded by their text."""
     from ..functions import kernels
 
     cut = provider.tokenize if provider else kernels.tokenize
 
     @F.arrow_udf(TOKENS)
-    def run(text: pa.Array) -> pa.Array:
-        rows = [None if t is None else [{"text": w, "start": a, "end": b, "idx": i} for i, (w, a, b) in enumerate(cut(t))] for t in text.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("idx", pa.int32())])))
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from token_arrays(texts, cut)
 
     return run
 

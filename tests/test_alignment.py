@@ -123,3 +123,12 @@ def test_rendering_escapes():
     assert "&lt;b&gt;" in render_html(candidates, ["<i>", "x"], ["<b>"], paths, [0])
     assert "P0" in render_text(candidates, ["<i>", "x"], ["<b>"], paths, [0]) and render_text([], [], []) == "no candidates"
     assert projection.alignment_path([(0, 0), (1, 5)], candidates)["path"] == [(0, 0, 0), (1, 0, 5)]
+
+
+def test_covered_within_equals_the_join(spark):
+    rows = [(1, [(0, 2, 9), (1, 40, 50)], [(0, 0, 2), (1, 2, 5), (2, 8, 12), (3, 9, 10)]), (2, [], [(0, 0, 2)]), (3, [(0, 0, 5)], None), (4, None, [(0, 0, 1)])]
+    df = spark.createDataFrame(rows, "k int, spans array<struct<span_id:int,start:int,end:int>>, tokens array<struct<idx:int,start:int,end:int>>")
+    spans, tokens = (df.select("k", F.explode(c).alias("x")).select("k", "x.*") for c in ("spans", "tokens"))
+    long = clusters.covered_tokens(spans, tokens, ["k"]).select("k", "span_id", "idx", "start", "end")
+    got = sorted(map(tuple, clusters.covered_within(df, ["k"]).collect()))
+    assert got == sorted(map(tuple, long.collect())) == [(1, 0, 1, 2, 5), (1, 0, 2, 8, 12)]

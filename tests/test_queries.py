@@ -3,12 +3,15 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanframe.functions import kernels
 from spanframe.operators import mapping, tags
 from spanframe.plans import registry
 from spanframe.schema import SPANS
+from spanframe.sources import tables
 from spanframe.streaming.stream import read_stream, run_stream
 
 DATA = os.environ.get("SPANFRAME_TEST_DATA", "/root/testdata/sf0.001")
@@ -53,6 +56,22 @@ def test_expensive_columns_are_computed_once(spark, name, what):
     assert plan.count(what) == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_covered_tokens_cut_once_and_shuffle_no_tokens(spark):
+    plan = registry.QUERIES["covered_tokens"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "Join" not in plan
+
+
+def test_tokens_come_in_bounded_batches(spark):
+    texts = [None, "", "Ab, c", *["word " * 40_000] * 20, "x", None]
+    out = list(tables.tokens().func(iter([pa.array(texts[:9], pa.string()), pa.array(texts[9:], pa.string())])))
+    assert max(sum(len(r or "") for r in part.to_pylist()) for part in out) <= tables.PIECE_CHARS // 5 and len(out) > 3
+    want = [None if t is None else [{"text": w, "start": a, "end": b, "idx": i} for i, (w, a, b) in enumerate(kernels.tokenize(t))] for t in texts]
+    assert [r for part in out for r in part.to_pylist()] == want
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).withColumn("n", F.size(tables.tokens()("t")))
+    assert [r.n for r in rows.orderBy("i").collect()] == [None if r is None else len(r) for r in want]
+
+
 def test_operators_run_on_a_stream(spark, tmp_path):
     rows = [("<a>The quick</a> fox", "The  quick fox", [(0, 9, "The quick", ["a"])])]
     spark.createDataFrame(rows, f"tagged_text string, original_text string, spans {SPANS}").write.parquet(str(tmp_path / "in"))
