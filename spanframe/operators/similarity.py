@@ -38,12 +38,18 @@ def cells(src: DataFrame, tgt: DataFrame, keys: list[str], vector: str = "vec")
     return a.join(b, keys).select(*keys, "i", "j", sim.alias("sim"))
 
 
-def distort(found: DataFrame, keys: list[str], ratio: float = 0.5) -> DataFrame:
-    """Less for cells at different relative positions; groups of one row or column stay."""
-    size = found.groupBy(*keys).agg((F.max("i") + 1).alias("_m"), (F.max("j") + 1).alias("_n"))
+def distort(found: DataFrame, keys: list[str], ratio: float = 0.5, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Less for cells at different relative positions; groups of one row or column stay.
+
+    shape: rows and columns of every group, also where the last ones have no cells; without it as far as a group's cells go.
+    """
+    if shape:
+        sized = found.withColumns({"_m": F.lit(shape[0]), "_n": F.lit(shape[1])})
+    else:
+        sized = found.join(found.groupBy(*keys).agg((F.max("i") + 1).alias("_m"), (F.max("j") + 1).alias("_n")), keys)
     gap = F.col("j") / (F.col("_n") - 1) - F.col("i") / (F.col("_m") - 1)
     less = F.when((F.col("_m") < 2) | (F.col("_n") < 2), 1.0).otherwise(1 - gap * gap * ratio)
-    return found.join(size, keys).select(*keys, "i", "j", (F.col("sim") * less).alias("sim"))
+    return sized.select(*keys, "i", "j", (F.col("sim") * less).alias("sim"))
 
 
 def _best(found: DataFrame, keys: list[str], by: str, other: str, sim: str = "sim") -> Column:

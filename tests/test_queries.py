@@ -73,7 +73,7 @@ def test_tokens_come_in_bounded_batches(spark):
     assert [r.n for r in rows.orderBy("i").collect()] == [None if r is None else len(r) for r in want]
 
 
-@pytest.mark.parametrize("name", ["align_mwmf", "region_estimate"])
+@pytest.mark.parametrize("name", ["align_mwmf", "region_estimate", "similarity_distort"])
 def test_groups_that_lack_embeddings(spark, tmp_path, name):
     rng = random.Random(3)
     ids = [*range(20), *range(20, 36), *range(50, 60), *range(60, 70), *(v for v in range(80, 100) if v != 84)]
